@@ -56,10 +56,24 @@ def fingerprint(text: bytes | None) -> int:
     starts = np.concatenate(([0], ends[: -SHINGLE] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())], dtype=np.uint64)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return _majority(hashes)
+
+
+#: The lowest bit of each byte lane.
+LANES = np.uint64(0x0101010101010101)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; byte lanes are summed in blocks of 255, which can't overflow."""
+    padded = np.zeros(-(-len(hashes) // 255) * 255, dtype=np.uint64)
+    padded[: len(hashes)] = hashes
+    fp = 0
+    for bit in range(8):
+        lanes = ((padded >> np.uint64(bit)) & LANES).reshape(-1, 255).sum(axis=1)
+        for byte, count in enumerate(lanes.view(np.uint8).reshape(-1, 8).sum(axis=0).tolist()):
+            if count * 2 > len(hashes):
+                fp |= 1 << (8 * byte + bit)
+    return fp
 
 
 def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
