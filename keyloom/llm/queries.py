@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, quality, segment, shuffle, simhash, toxicity, wordpiece
+from . import chat, decontaminate, language, quality, segment, shuffle, simhash, surrogates, toxicity, wordpiece
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_sharding,
         op7_quality_rules,
         op8_benchmark_decontamination,
+        op9_pii_surrogates,
         op10_toxicity,
     ]
     return {f.__name__: f for f in found}

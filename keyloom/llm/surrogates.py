@@ -1,0 +1,313 @@
+"""PII surrogates: detected entities are replaced by keyed, made-up ones of the same type, format, script and gender.
+
+Kinds: email, phone, card, ssn, iban, ipv4, aws_key, secret (values assigned to password, token and the like), hex_token,
+and person names (behind an honorific, or a known given name before a known family name; further mentions
+of these names in the same text follow).
+
+Every kind is mapped by a keyed permutation without fixed points of all values of its format: x goes to P^-1(P(x) + 1),
+P being a Feistel network, walked along its cycle while it leaves the format. So one entity has one surrogate in the whole
+corpus, however it is written (coreference), two never share one (distinctness), and none keeps its value, with no
+table of the corpus. Check digits (Luhn, ISO 7064) are made anew, letter case and separators stay. Known given names
+go to known ones of their gender and script, known family names to known ones of their script, other names to names of
+the same pattern of vowels and consonants that are not known ones. Collision check: should a surrogate equal an original
+of the same kind in the same text, the step along the permutation is taken from the second keyed one, for all of the text.
+
+Defined results: a null text stays null, an empty one empty, with no entities. Where candidates overlap, the one that
+starts first counts, then the kind listed first. Repeated rows each get a row. An empty table gives an empty result.
+Extra columns are ignored by `replace_pii` and kept by `scrub`.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_columns, replace_text
+
+KEY = b"keyloom surrogate key; give your own in production"
+ROUNDS = 8
+
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+#: Letters of other scripts that are permuted among their like; the letter's case is kept.
+ALPHABETS = [
+    "àáâãäåæçèéêëìíîïñòóôõöøùúûüýœ",
+    "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+    "αβγδεζηθικλμνξοπρστυφχψω",
+]
+FEMALE = "Alice Anna Barbara Carla Clara Diana Elena Elisabeth Emma Eva Fiona Gabriela Hannah Helena Isabel Jane Julia Karen Laura Linda Lucia Maria Marie Martha Mary Nina Olivia Patricia Rosa Sarah Sofia Susan Teresa Ursula Victoria Zoe".split()
+MALE = "Adam Albert Alexander Andrew Anton Antonio Bernard Carlos Charles Daniel David Diego Edward Felix Francis Frank George Hans Henry Hugo Jacob James Jean John Jorge Joseph Juan Karl Louis Luis Martin Michael Miguel Oliver Otto Paul Peter Pierre Robert Thomas Walter William".split()
+FEMALE_CYRILLIC = "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split()
+MALE_CYRILLIC = "Александр Алексей Андрей Борис Виктор Дмитрий Иван Николай Павел Сергей".split()
+FAMILY = "Anderson Bauer Becker Bernard Brown Clark Davis Dubois Durand Fernandez Fischer Garcia Gomez Hoffmann Jackson Johnson Jones Klein Koch Lambert Laurent Lewis Lopez Martinez Meyer Miller Moore Moreau Morgan Muller Navarro Neumann Parker Perez Petit Richter Robinson Rodriguez Roux Sanchez Schmidt Schneider Schulz Simon Smith Taylor Torres Vega Wagner Weber White Williams Wilson Wolf Young Zimmermann".split()
+FAMILY_CYRILLIC = "Васильев Волков Иванов Козлов Кузнецов Лебедев Морозов Новиков Петров Попов Смирнов Соколов Фёдоров".split()
+NAME_LISTS = {"female": FEMALE, "male": MALE, "female-cyrillic": FEMALE_CYRILLIC, "male-cyrillic": MALE_CYRILLIC, "family": FAMILY, "family-cyrillic": FAMILY_CYRILLIC}
+LISTED = {name.lower(): (kind, at, names) for kind, names in NAME_LISTS.items() for at, name in enumerate(names)}
+
+WORD = r"[^\W\d_]"
+NAME = rf"(?:[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]{WORD}+(?:-[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]{WORD}+)?)"
+TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Г-н|Г-жа)"
+PATTERNS: list[tuple[str, str, re.Pattern[str], tuple[str, ...]]] = [
+    # kind, what a text must hold (any of these characters; none: no such test), pattern with the value in group v, other needles
+    ("email", "@", re.compile(r"(?P<v>[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"), ()),
+    ("secret", "=:", re.compile(r"(?i)\b(?:password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[^\s\"',;]{6,})"), ()),
+    ("aws_key", "", re.compile(r"\b(?:AKIA|ASIA|akia|asia)(?P<v>[A-Z0-9]{16}|[a-z0-9]{16})\b"), ("AKIA", "ASIA", "akia", "asia")),
+    ("iban", "0123456789", re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"), ()),
+    ("ipv4", "0123456789", re.compile(r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d|[^\W\d_])"), ()),
+    ("phone", "0123456789", re.compile(r"(?<![\w.])(?P<v>(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])"), ()),
+    ("ssn", "-", re.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])"), ()),
+    ("card", "0123456789", re.compile(r"(?<![\w.])(?P<v>\d(?:[ -]?\d){12,18})(?![\w])"), ()),
+    ("hex_token", "0123456789", re.compile(r"(?<!\w)(?P<v>(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?!\w)"), ()),
+]
+TITLED = re.compile(rf"\b{TITLE}\.? (?P<v>{NAME}(?: {NAME}){{0,2}})")
+KNOWN = re.compile(rf"\b(?P<v>(?:{'|'.join(n for k, names in NAME_LISTS.items() if not k.startswith('family') for n in names)}) (?:{'|'.join(FAMILY + FAMILY_CYRILLIC)}))\b")
+QUICK = re.compile(r"[0-9@=]|AKIA|akia|ASIA|asia")
+
+
+class Permutation:
+    """Keyed permutations without fixed points of range(n), one for each n and tweak."""
+
+    def __init__(self, key: bytes):
+        self.key = hashlib.blake2b(key, digest_size=32).digest()
+
+    def _round(self, tweak: bytes, i: int, half: int, bits: int) -> int:
+        digest = b""
+        while len(digest) * 8 < bits:
+            data = tweak + bytes([i, len(digest) & 255]) + half.to_bytes((bits + 7) // 8, "big")
+            digest += hashlib.blake2b(data, key=self.key).digest()
+        return int.from_bytes(digest, "big") & ((1 << bits) - 1)
+
+    def _network(self, tweak: bytes, x: int, bits: int, back: bool) -> int:
+        left, right = x >> bits, x & ((1 << bits) - 1)
+        for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            if back:
+                left, right = right ^ self._round(tweak, i, left, bits), left
+            else:
+                left, right = right, left ^ self._round(tweak, i, right, bits)
+        return left << bits | right
+
+    def _walk(self, tweak: bytes, x: int, n: int, back: bool) -> int:
+        bits = max(1, ((n - 1).bit_length() + 1) // 2)
+        while True:
+            x = self._network(tweak, x, bits, back)
+            if x < n:
+                return x
+
+    def move(self, tweak: str, x: int, n: int) -> int:
+        if n < 2:
+            return x
+        t = f"{tweak}|{n}|".encode()
+        return self._walk(t, (self._walk(t, x, n, False) + 1) % n, n, True)
+
+
+def luhn(digits: str) -> int:
+    """The check digit for these digits."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 if i % 2 else 2)
+        total += d - 9 * (d > 9)
+    return -total % 10
+
+
+def _kinds(text: str) -> list[str]:
+    """The alphabet that each character is drawn from; '' for one that stays."""
+    out = []
+    for c in text.lower():
+        if c in LOWER and len(c) == 1:
+            out.append(LOWER)
+        elif c.isascii() and c.isdigit():
+            out.append("0123456789")
+        else:
+            out.append(next((a for a in ALPHABETS if c in a and len(c) == 1), ""))
+    return out
+
+
+class Surrogates:
+    """Surrogates under one key; `attempt` selects another permutation where the first collides."""
+
+    def __init__(self, key: bytes = KEY):
+        self.permutation = Permutation(key)
+        self.memo: dict[tuple[str, str, int], str] = {}
+
+    def mix(self, tweak: str, text: str, alphabets: list[str]) -> str:
+        """text with its characters moved together through all strings of the same alphabets, case kept."""
+        lower = text.lower()
+        if len(lower) != len(text):
+            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        x, n = 0, 1
+        for c, a in zip(lower, alphabets):
+            if a:
+                x, n = x * len(a) + a.index(c), n * len(a)
+        x = self.permutation.move(f"{tweak}|{''.join(chr(65 + len(a)) for a in alphabets if a)}", x, n)
+        out, shout = [], text.isupper()
+        for c, a in zip(reversed(text), reversed(alphabets)):
+            if a:
+                x, at = divmod(x, len(a))
+                # where digits and letters mix, only the case of the whole can be kept
+                out.append(a[at].upper() if (shout if a[0] == "0" else c.isupper()) else a[at])
+            else:
+                out.append(c)
+        return "".join(reversed(out))
+
+    def of(self, kind: str, value: str, attempt: int = 0) -> str:
+        key = (kind, value, attempt)
+        if key not in self.memo:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            tweak = kind if not attempt else f"{kind}#{attempt}"
+            self.memo[key] = getattr(self, f"_{kind}")(tweak, value)
+        return self.memo[key]
+
+    def _email(self, tweak: str, value: str) -> str:
+        head, dot, top = value.rpartition(".")
+        return self.mix(tweak, head, _kinds(head)) + dot + top
+
+    def _secret(self, tweak: str, value: str) -> str:
+        if re.fullmatch(r"[0-9a-fA-F]+", re.sub(r"\W+$", "", value)):
+            return self._hex_token(tweak, value)
+        return self.mix(tweak, value, _kinds(value))
+
+    def _hex_token(self, tweak: str, value: str) -> str:
+        return self.mix("hex" + tweak.lstrip("hexsecrtokn_"), value, ["0123456789abcdef" if c.isascii() and c.isalnum() else "" for c in value])
+
+    def _aws_key(self, tweak: str, value: str) -> str:
+        return self.mix(tweak, value, ["0123456789" + LOWER] * len(value))
+
+    def _phone(self, tweak: str, value: str) -> str:
+        # the country code stays
+        code = re.match(r"\+\d{1,3}(?=[^\d])|\d{1,3}(?=[ .-]?\()", value)
+        kept = code.end() if code else 0
+        return value[:kept] + self.mix(tweak, value[kept:], _kinds(value[kept:]))
+
+    def _ssn(self, tweak: str, value: str) -> str:
+        return self.mix(tweak, value, _kinds(value))
+
+    def _ipv4(self, tweak: str, value: str) -> str:
+        x = 0
+        for part in value.split("."):
+            x = x << 8 | int(part)
+        x = self.permutation.move(tweak, x, 1 << 32)
+        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+
+    def _card(self, tweak: str, value: str) -> str:
+        digits = re.sub(r"\D", "", value)
+        off = (int(digits[-1]) - luhn(digits[:-1])) % 10
+        body = self.mix(tweak, digits[:-1], _kinds(digits[:-1]))
+        new = iter(body + str((luhn(body) + off) % 10))
+        return "".join(next(new) if c.isdigit() else c for c in value)
+
+    def _iban(self, tweak: str, value: str) -> str:
+        solid = value.replace(" ", "")
+        numeric = lambda s: int("".join(str(int(c, 36)) for c in s))
+        off = numeric(solid[4:] + solid[:4]) % 97
+        body = self.mix(tweak, solid[4:], _kinds(solid[4:]))
+        check = (off - numeric(body + solid[:2] + "00")) % 97
+        new = iter(solid[:2] + f"{check:02d}" + body)
+        return "".join(next(new) if c != " " else c for c in value)
+
+    def _person(self, tweak: str, value: str) -> str:
+        return " ".join(self.name(tweak, part) for part in value.split(" "))
+
+    def name(self, tweak: str, part: str) -> str:
+        listed = LISTED.get(part.lower())
+        if listed:
+            kind, at, names = listed
+            new = names[self.permutation.move(f"{tweak}|{kind}", at, len(names))]
+            return new.upper() if part.isupper() else new
+        alphabets = [VOWELS if c in VOWELS else CONSONANTS if c in CONSONANTS else a for c, a in zip(part.lower(), _kinds(part))]
+        new = self.mix(tweak, part, alphabets)
+        while new.lower() in LISTED:
+            new = self.mix(tweak, new, alphabets)
+        return new
+
+
+def detect(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all entities, in order, without overlaps."""
+    found: list[tuple[int, int, int, str]] = []
+    if QUICK.search(text):
+        for rank, (kind, needs, pattern, needles) in enumerate(PATTERNS):
+            if (needs and not any(c in text for c in needs)) or (needles and not any(n in text for n in needles)):
+                continue
+            found += [(*m.span("v"), rank, kind) for m in pattern.finditer(text)]
+    names = [(*m.span("v"), 99, "person") for p in (TITLED, KNOWN) for m in p.finditer(text)]
+    if names:
+        parts = sorted({p for a, b, _, _ in names for p in text[a:b].split(" ") if len(p) > 2}, key=len, reverse=True)
+        found += names
+        found += [(*m.span(), 100, "person") for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, parts))})\b", text)] if parts else []
+    out, end = [], 0
+    for a, b, _, kind in sorted(found, key=lambda x: (x[0], x[2], -x[1])):
+        if a >= end:
+            out.append((a, b, kind))
+            end = b
+    return out
+
+
+def plain(kind: str, value: str) -> str:
+    return re.sub(r"\W", "", value).lower() if kind != "ipv4" else value
+
+
+def rewrite(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with all entities replaced, and what was found where in the original."""
+    found = detect(text)
+    if not found:
+        return text, found
+    originals = {(kind, plain(kind, text[a:b])) for a, b, kind in found}
+    attempt = 0
+    while True:
+        new = [surrogates.of(kind, text[a:b], attempt) for a, b, kind in found]
+        if attempt == 8 or not any((kind, plain(kind, n)) in originals for n, (_, _, kind) in zip(new, found)):
+            break
+        attempt += 1
+    out, at = [], 0
+    for (a, b, _), n in zip(found, new):
+        out += [text[at:a], n]
+        at = b
+    return "".join([*out, text[at:]]), found
+
+
+def _worker(key: bytes) -> Callable[[str], tuple[str, list[tuple[int, int, str]]]]:
+    surrogates = Surrogates(key)
+    return lambda text: rewrite(text, surrogates)
+
+
+def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """Per document: doc_id, text with surrogates, n_entities, and entities as (kind, n) in the kinds' order."""
+
+    def make():
+        work_on = _worker(key)
+
+        def work(batch: pa.RecordBatch):
+            texts, kinds = [], []
+            for text in batch.column(1).to_pylist():
+                new, found = work_on(text) if text else (text, [])
+                texts.append(new)
+                kinds.append([{"kind": k, "n": n} for k, n in sorted(Counter(k for _, _, k in found).items())])
+            return {
+                "doc_id": batch.column(0),
+                "text": pa.array(texts, pa.string()),
+                "n_entities": pa.array([sum(k["n"] for k in ks) for ks in kinds], pa.int64()),
+                "entities": pa.array(kinds, pa.list_(pa.struct([("kind", pa.string()), ("n", pa.int64())]))),
+            }
+
+        return work
+
+    schema = "doc_id long, text string, n_entities long, entities array<struct<kind: string, n: bigint>>"
+    return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), schema, make)
+
+
+def scrub(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """docs, all rows and columns kept, with surrogates in its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work_on = _worker(key)
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("text"))
+            yield replace_text(batch, [work_on(t)[0] if t else t for t in column.to_pylist()])
+
+    return docs.mapInArrow(run, docs.schema)
