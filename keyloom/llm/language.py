@@ -31,6 +31,8 @@ from .common import durable, fold, map_columns, remainder
 
 BITS, ORDERS, FOLDS, HELD_OUT = 20, 4, 4, 2
 PER_LANG, LANDMARKS, RIDGE, BATCH = 1000, 256, 1e-2, 64
+#: Languages up to which the sampled ids, PER_LANG a language, are broadcast.
+MAX_LANGS = 1000
 MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
 
@@ -92,13 +94,17 @@ def presence(spectra: list[np.ndarray], slots: np.ndarray, width: int) -> np.nda
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(text, lang, nth): up to per_lang documents of each language, nth in the order of their id's hash."""
-    usable = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    usable = usable.where(fold("doc_id", FOLDS) != HELD_OUT).withColumn("h", F.xxhash64("doc_id"))
+    ids = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    ids = ids.where(fold("doc_id", FOLDS) != HELD_OUT).withColumn("h", F.xxhash64("doc_id"))
     # a share of each language that holds its smallest hashes is cut out before any sort, so a hot language costs no more
-    share = usable.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(4.0 * per_lang) / F.col("n")).alias("p"))
-    near = usable.join(share, "lang").where(F.col("h") / F.lit(2.0**63) <= 2 * F.col("p") - 1)
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
-    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang).select("text", "lang", "nth")
+    share = durable(ids.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(4.0 * per_lang) / F.col("n")).alias("p")))
+    few = share.count() <= MAX_LANGS
+    near = ids.join(F.broadcast(share) if few else share, "lang").where(F.col("h") / F.lit(2.0**63) <= 2 * F.col("p") - 1)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = near.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("doc_id", "nth").distinct()
+    # texts are met last, and those of the other documents are never moved
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where("lang IS NOT NULL")
+    return texts.join(F.broadcast(picked) if few else picked, "doc_id").select("text", "lang", "nth")
 
 
 def train(docs: DataFrame) -> Model:
