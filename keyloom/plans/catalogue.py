@@ -1,11 +1,384 @@
-"""The engine's queries over the driver's tables, with equivalent SQL."""
+"""The engine's queries over the driver's tables, with equivalent SQL.
+
+Views: `base` is orders by key (order priority), `delta` every third order (order status), newer than base, `late` every
+fifth (clerk-like text of customer), newer than delta; `ev` is events by user, later events being later entries.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.hashing import HASHES, bucket_of, hash_of, shard_of
+from ..functions.text import decode_base64, encode_base64, entry_bytes, to_text
+from ..operators import blocks, lookup, merge, stats
+from ..operators.sharded import assign_paths, of_shard
+from ..sources.delimited import format_lines, parse_lines
+from ..sources.entries import to_entries
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+MD5 = "('0x' || substr(md5(key), 1, 8))::BIGINT"
+VIEWS = f"""
+base AS (SELECT o_orderkey::VARCHAR AS key, o_orderpriority AS value, 0 AS src FROM orders),
+delta AS (SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS value, 1 AS src FROM orders WHERE o_orderkey % 3 = 0),
+late AS (SELECT o_orderkey::VARCHAR AS key, 'c' || o_custkey::VARCHAR AS value, 2 AS src FROM orders WHERE o_orderkey % 5 = 0),
+ev AS (SELECT user_id::VARCHAR AS key, event_type AS value, event_id AS ord FROM events),
+hashed AS (SELECT key, value, {MD5} AS h, ({MD5} >> 28)::INT AS shard FROM base)
+"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = f"WITH {VIEWS} {sql}"
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def base(spark: SparkSession, sf: str) -> DataFrame:
+    return to_entries(_table(spark, sf, "orders"), F.col("o_orderkey").cast("string"), "o_orderpriority")
+
+
+def delta(spark: SparkSession, sf: str) -> DataFrame:
+    return to_entries(_table(spark, sf, "orders").where("o_orderkey % 3 = 0"), F.col("o_orderkey").cast("string"), "o_orderstatus")
+
+
+def late(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "orders").where("o_orderkey % 5 = 0")
+    return to_entries(rows, F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
+
+
+def ev(spark: SparkSession, sf: str) -> DataFrame:
+    return to_entries(_table(spark, sf, "events"), F.col("user_id").cast("string"), "event_type", "event_id")
+
+
+def hashed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = base(spark, sf).withColumn("h", hash_of(F.col("key"), "md5_32"))
+    return rows.withColumn("shard", shard_of(F.col("h"), 16)).withColumn("size", entry_bytes(F.col("key"), F.col("value")))
+
+
+@query("SELECT key, arg_max(value, src) AS value FROM (FROM base UNION ALL FROM delta) GROUP BY key")
+def merge_last_wins(spark, sf):
+    return merge.last_wins(base(spark, sf), delta(spark, sf))
+
+
+@query("SELECT key, arg_max(value, src) AS value FROM (FROM base UNION ALL FROM delta UNION ALL FROM late) GROUP BY key")
+def set_scan(spark, sf):
+    return _set(spark, sf).entries()
+
+
+def _set(spark, sf) -> merge.SourceSet:
+    return merge.SourceSet().add("base", base(spark, sf)).add("delta", delta(spark, sf)).add("late", late(spark, sf))
+
+
+@query("SELECT key, arg_max(value, src) AS value FROM (FROM base UNION ALL FROM late) GROUP BY key")
+def set_remove_source(spark, sf):
+    return _set(spark, sf).remove("delta").entries()
+
+
+@query("SELECT key, arg_max(value, CASE src WHEN 0 THEN 9 ELSE src END) AS value FROM (FROM base UNION ALL FROM delta UNION ALL FROM late) GROUP BY key")
+def set_add_again(spark, sf):
+    return _set(spark, sf).add("base", base(spark, sf)).entries()
+
+
+@query("SELECT max(src) + 1 AS next_priority FROM (FROM base UNION ALL FROM delta UNION ALL FROM late)")
+def next_priority(spark, sf):
+    return _set(spark, sf).stacked().agg((F.max("src") + 1).alias("next_priority"))
+
+
+@query("SELECT key, arg_max(value, ord) AS value FROM ev GROUP BY key")
+def dedupe_last(spark, sf):
+    return merge.dedupe(ev(spark, sf))
+
+
+@query("SELECT key, value FROM ev")
+def dedupe_keep(spark, sf):
+    return merge.dedupe(ev(spark, sf), "keep")
+
+
+@query("SELECT key, string_agg(value, ',' ORDER BY ord DESC) AS value FROM ev GROUP BY key")
+def fold_newest_first(spark, sf):
+    return merge.fold(ev(spark, sf), lambda a, b: F.concat(a, F.lit(","), b))
+
+
+@query("SELECT key, string_agg(value, ',' ORDER BY ord DESC) AS value FROM ev GROUP BY key")
+def fold_in_runs(spark, sf):
+    return merge.fold(ev(spark, sf), lambda a, b: F.concat(a, F.lit(","), b), associative=True)
+
+
+@query("SELECT key, string_agg(value, ',' ORDER BY ord DESC) AS value FROM ev GROUP BY key")
+def fold_python(spark, sf):
+    return merge.fold_python(ev(spark, sf), lambda a, b: f"{a},{b}")
+
+
+@query("SELECT user_id::VARCHAR AS key, sum(floor(value)::BIGINT)::BIGINT::VARCHAR AS value FROM events GROUP BY user_id")
+def fold_sum(spark, sf):
+    numbers = to_entries(_table(spark, sf, "events"), F.col("user_id").cast("string"), F.floor("value").cast("string"), "event_id")
+    return merge.fold(numbers, "sum")
+
+
+@query("SELECT key, min(value) AS value FROM ev GROUP BY key")
+def fold_min(spark, sf):
+    return merge.fold(ev(spark, sf), "min")
+
+
+@query("SELECT key, max(value) AS value FROM ev GROUP BY key")
+def fold_max(spark, sf):
+    return merge.fold(ev(spark, sf), "max")
+
+
+@query("SELECT key, count(*)::VARCHAR AS value FROM ev GROUP BY key")
+def fold_count(spark, sf):
+    return merge.fold(ev(spark, sf), "count")
+
+
+@query("SELECT key, string_agg(value, '|' ORDER BY src DESC) AS value FROM (FROM base UNION ALL FROM delta UNION ALL FROM late) GROUP BY key")
+def merge_fold_sources(spark, sf):
+    return merge.fold(_set(spark, sf).stacked(), lambda a, b: F.concat(a, F.lit("|"), b))
+
+
+@query("SELECT value FROM base WHERE key = '7'")
+def point_get(spark, sf):
+    return lookup.point_get(base(spark, sf), "7").select("value")
+
+
+@query("SELECT arg_max(value, src) AS value FROM (FROM base UNION ALL FROM delta UNION ALL FROM late) WHERE key = '15'")
+def point_get_set(spark, sf):
+    return merge.latest(lookup.point_get(_set(spark, sf).stacked(), "15")).select("value")
+
+
+def _asked(spark, sf) -> DataFrame:
+    return _table(spark, sf, "customer").select((F.col("c_custkey") * 17).cast("string").alias("key"))
+
+
+ASKED = "(SELECT (c_custkey * 17)::VARCHAR AS key FROM customer) a"
+
+
+@query(f"SELECT a.key, base.value FROM {ASKED} LEFT JOIN base ON base.key = a.key")
+def multi_get_left(spark, sf):
+    return lookup.multi_get(base(spark, sf), _asked(spark, sf))
+
+
+@query(f"SELECT a.key, base.value FROM {ASKED} JOIN base ON base.key = a.key")
+def multi_get_inner(spark, sf):
+    return lookup.multi_get(base(spark, sf), _asked(spark, sf), "inner")
+
+
+@query(f"SELECT a.key FROM {ASKED} WHERE EXISTS (SELECT 1 FROM base WHERE base.key = a.key)")
+def keys_semi(spark, sf):
+    return lookup.multi_get(base(spark, sf), _asked(spark, sf), "semi")
+
+
+@query(f"SELECT a.key FROM {ASKED} WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.key = a.key)")
+def keys_anti(spark, sf):
+    return lookup.multi_get(base(spark, sf), _asked(spark, sf), "anti")
+
+
+@query("SELECT DISTINCT key FROM ev")
+def keys_only(spark, sf):
+    return ev(spark, sf).select("key").distinct()
+
+
+@query("SELECT value FROM base")
+def values_only(spark, sf):
+    return base(spark, sf).select("value")
+
+
+@query(f"SELECT key FROM base ORDER BY {MD5}, key LIMIT 100")
+def sample_keys(spark, sf):
+    return lookup.sample_keys(base(spark, sf), 100)
+
+
+def _lines(spark, sf) -> DataFrame:
+    return _table(spark, sf, "documents").select(F.element_at(F.split("text", "\n", 2), 1).alias("value"))
+
+
+LINES = "(SELECT split_part(text, chr(10), 1) AS l FROM documents) WHERE length(l) > 0"
+
+
+@query(f"SELECT CASE WHEN instr(l, ' ') > 0 THEN substr(l, 1, instr(l, ' ') - 1) ELSE l END AS key, CASE WHEN instr(l, ' ') > 0 THEN substr(l, instr(l, ' ') + 1) ELSE '' END AS value FROM {LINES}")
+def parse_delimited(spark, sf):
+    return parse_lines(_lines(spark, sf), " ").select("key", "value")
+
+
+@query(f"SELECT CASE WHEN instr(l, ', ') > 0 THEN substr(l, 1, instr(l, ', ') - 1) ELSE l END AS key, CASE WHEN instr(l, ', ') > 0 THEN substr(l, instr(l, ', ') + 2) ELSE '' END AS value FROM {LINES}")
+def parse_long_delimiter(spark, sf):
+    return parse_lines(_lines(spark, sf), ", ").select("key", "value")
+
+
+@query("SELECT key || chr(9) || value AS value FROM base")
+def decode_text(spark, sf):
+    return format_lines(base(spark, sf))
+
+
+@query("SELECT rtrim(to_base64(encode(key)), '=') || ':' || rtrim(to_base64(encode(value)), '=') AS value FROM base")
+def decode_base64_text(spark, sf):
+    return format_lines(base(spark, sf), ":", base64=True)
+
+
+@query("SELECT doc_id, rtrim(to_base64(encode(text)), '=') AS encoded, text AS decoded FROM documents")
+def base64_roundtrip(spark, sf):
+    coded = _table(spark, sf, "documents").select("doc_id", encode_base64(F.col("text")).alias("encoded"))
+    return coded.withColumn("decoded", to_text(decode_base64(F.col("encoded"))))
+
+
+@query(f"SELECT ({MD5} >> 26)::INT AS shard, count(*) AS entries FROM base GROUP BY 1")
+def shard_counts(spark, sf):
+    h = hash_of(F.col("key"), "md5_32")
+    return base(spark, sf).groupBy(shard_of(h, 64).alias("shard")).agg(F.count("*").alias("entries"))
+
+
+@query(f"SELECT key, value FROM base WHERE ({MD5} >> 29) = 5")
+def shard_filter(spark, sf):
+    return of_shard(base(spark, sf), 5, 8, "md5_32").select("key", "value")
+
+
+@query(f"SELECT ({MD5} >> 22)::INT AS bucket, count(*) AS entries FROM base GROUP BY 1")
+def bucket_counts(spark, sf):
+    return base(spark, sf).groupBy(bucket_of(hash_of(F.col("key"), "md5_32")).alias("bucket")).agg(F.count("*").alias("entries"))
+
+
+MASKS = "masks AS (SELECT shard, bit_and(h) AS shared_hash, (~xor(bit_and(h), bit_or(h))) & 4294967295 AS hash_mask FROM hashed GROUP BY shard)"
+
+
+@query(f", {MASKS} SELECT shard, shared_hash, hash_mask FROM masks")
+def hash_mask_by_shard(spark, sf):
+    return stats.hash_mask(hashed(spark, sf), "shard")
+
+
+@query(f", {MASKS} SELECT shard AS source, i::INT AS bucket FROM masks, range(1024) r(i) WHERE (i & (hash_mask >> 22)) = ((shared_hash >> 22) & (hash_mask >> 22))")
+def bucket_membership(spark, sf):
+    return lookup.bucket_members(stats.hash_mask(hashed(spark, sf), "shard").withColumnRenamed("shard", "source"))
+
+
+@query(f", {MASKS} SELECT shard FROM masks WHERE (hash_mask & 123456789) = (shared_hash & hash_mask)")
+def source_prefilter(spark, sf):
+    return lookup.may_hold(stats.hash_mask(hashed(spark, sf), "shard"), F.lit(123456789)).select("shard")
+
+
+@query("SELECT shard, count(*) AS entries, count(DISTINCT key) AS keys, sum(strlen(key) + strlen(value) + 8)::BIGINT AS bytes FROM hashed GROUP BY shard")
+def validate_counts(spark, sf):
+    return stats.counts(hashed(spark, sf), "shard")
+
+
+@query("SELECT h, count(*) AS n FROM (SELECT h // 65536 AS h FROM hashed) GROUP BY h")
+def group_by_hash(spark, sf):
+    return hashed(spark, sf).groupBy(F.shiftrightunsigned("h", 16).alias("h")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT shard, key, coalesce(sum(strlen(key) + strlen(value) + 8) OVER (PARTITION BY shard ORDER BY h, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM hashed")
+def running_offset(spark, sf):
+    return blocks.running_offsets(hashed(spark, sf), "shard", ["h", "key"]).select("shard", "key", "offset")
+
+
+@query(", o AS (SELECT shard, h, coalesce(sum(strlen(key) + strlen(value) + 8) OVER (PARTITION BY shard ORDER BY h, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM hashed) SELECT shard, h, min(off) AS first_offset FROM o GROUP BY shard, h")
+def first_offset_of_hash(spark, sf):
+    rows = blocks.running_offsets(hashed(spark, sf), "shard", ["h", "key"])
+    return rows.groupBy("shard", "h").agg(F.min("offset").alias("first_offset"))
+
+
+@query("SELECT shard, key, dense_rank() OVER (PARTITION BY shard ORDER BY h) - 1 AS ordinal FROM hashed")
+def hash_ordinal(spark, sf):
+    return blocks.hash_ordinals(hashed(spark, sf), "shard").select("shard", "key", "ordinal")
+
+
+@query("SELECT shard, count(*) AS entries, 0::BIGINT AS breaks FROM hashed GROUP BY shard")
+def key_order_check(spark, sf):
+    return blocks.order_breaks(hashed(spark, sf), "shard")
+
+
+PACKED = f"""
+p AS (SELECT ({MD5} >> 30)::INT AS shard, {MD5} AS h, count(*) AS n, sum(strlen(key) + strlen(value) + 8)::BIGINT AS size FROM base GROUP BY 1, 2),
+g AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h) AS i FROM p),
+w AS (
+  SELECT shard, i, n, 0::BIGINT AS block, size AS cur, 1 AS c FROM g WHERE i = 1
+  UNION ALL
+  SELECT g.shard, g.i, g.n, CASE WHEN w.c >= 255 OR w.cur >= 4096 THEN w.block + 1 ELSE w.block END,
+    CASE WHEN w.c >= 255 OR w.cur >= 4096 THEN g.size ELSE w.cur + g.size END, CASE WHEN w.c >= 255 OR w.cur >= 4096 THEN 1 ELSE w.c + 1 END
+  FROM w JOIN g ON g.shard = w.shard AND g.i = w.i + 1)
+"""
+
+
+@query()
+def pack_blocks(spark, sf):
+    return blocks.number_blocks(base(spark, sf), 4, 4096, "md5_32").groupBy("shard", "block").agg(F.count("*").alias("n"))
+
+
+SQL["pack_blocks"] = f"WITH RECURSIVE {VIEWS}, {PACKED} SELECT shard, block, sum(n)::BIGINT AS n FROM w GROUP BY shard, block"
+
+
+@query("SELECT key, value FROM base")
+def block_roundtrip(spark, sf):
+    back = blocks.decode_blocks(blocks.encode_blocks(base(spark, sf), 4))
+    return back.select(to_text(F.col("key")).alias("key"), to_text(F.col("value")).alias("value"))
+
+
+@query("SELECT count(*) AS entries, count(*) AS sound_entries, 0::BIGINT AS bad_blocks, 0::BIGINT AS missing FROM base")
+def validate_blocks(spark, sf):
+    return blocks.validate(blocks.encode_blocks(base(spark, sf), 4)).select("entries", "sound_entries", "bad_blocks", "missing")
+
+
+@query()
+def block_offsets(spark, sf):
+    """Where each encoded block starts in its shard's file: 8 bytes of checksum and length before each payload."""
+    sized = blocks.encode_blocks(base(spark, sf), 4, hash_name="md5_32").withColumn("size", F.octet_length("payload").cast("long") + 8)
+    return blocks.running_offsets(sized, "shard", ["block"]).select("shard", "block", "n", "size", "offset")
+
+
+QS = "[0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]"
+
+
+@query(f"SELECT q::DOUBLE AS q, round(v, 6) AS value FROM (SELECT unnest({QS}) AS q, unnest(quantile_cont(value, {QS})) AS v FROM events)")
+def latency_quantiles(spark, sf):
+    return stats.quantiles(_table(spark, sf, "events"), "value").select("q", F.round("value", 6).alias("value"))
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance FROM events GROUP BY event_type")
+def welford_stats(spark, sf):
+    rows = stats.moments(_table(spark, sf, "events"), "value", "event_type")
+    return rows.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+@query("SELECT event_type, floor(avg(value) + sqrt(coalesce(var_samp(value), 4096)) / 4)::BIGINT AS read_size FROM events GROUP BY event_type")
+def read_size_estimate(spark, sf):
+    rows = stats.moments(_table(spark, sf, "events"), "value", "event_type")
+    return rows.select("event_type", stats.read_size(F.col("mean"), F.col("variance"), F.col("n")).alias("read_size"))
+
+
+@query("SELECT round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS per_second FROM events")
+def throughput(spark, sf):
+    return stats.throughput(_table(spark, sf, "events"), "ts").select(F.round("per_second", 9).alias("per_second"))
+
+
+@query("SELECT source, path, floor((row_number() OVER (PARTITION BY source ORDER BY path) - 1) * 8 / count(*) OVER (PARTITION BY source))::INT AS shard FROM (SELECT p_brand AS source, p_partkey::VARCHAR AS path FROM part)")
+def shard_paths(spark, sf):
+    files = _table(spark, sf, "part").select(F.col("p_brand").alias("source"), F.col("p_partkey").cast("string").alias("path"))
+    return assign_paths(files, 8)
+
+
+@query()
+def checksum_crc32(spark, sf):
+    return base(spark, sf).select("key", F.crc32(F.col("value").cast("binary")).alias("checksum"))
+
+
+@query()
+def hash_registry(spark, sf):
+    return base(spark, sf).select("key", *[f(F.col("key")).alias(name) for name, f in sorted(HASHES.items())])
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return QUERIES
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return SQL
