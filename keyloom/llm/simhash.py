@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, map_columns, raw
+from .common import durable, fresh, map_columns, raw
 
 SEED, SHINGLE, MAX_BITS, MAX_LIST = 42, 4, 4, 4096
 
@@ -265,7 +265,8 @@ def deduplicate(docs: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     rows = durable(fingerprints(docs))
     kept = rows.join(classes(rows, max_list), "fp").where("doc_id <=> component_id")
     text_id = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
-    kept = kept.select(text_id.alias("__id")).distinct()
-    once = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
-    out = docs.withColumn("__id", text_id).join(kept, "__id", "left_semi")
-    return out.withColumn("__nth", F.row_number().over(once)).where("__nth = 1").select(*[f"`{c}`" for c in docs.columns])
+    key, nth = fresh(docs, "key"), fresh(docs, "nth")
+    kept = kept.select(text_id.alias(key)).distinct()
+    out = docs.withColumn(key, text_id).join(kept, key, "left_semi")
+    once = Window.partitionBy(key).orderBy(F.xxhash64("text"))
+    return out.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])

@@ -45,7 +45,7 @@ FEMALE = "Alice Anna Barbara Carla Clara Diana Elena Elisabeth Emma Eva Fiona Ga
 MALE = "Adam Albert Alexander Andrew Anton Antonio Bernard Carlos Charles Daniel David Diego Edward Felix Francis Frank George Hans Henry Hugo Jacob James Jean John Jorge Joseph Juan Karl Louis Luis Martin Michael Miguel Oliver Otto Paul Peter Pierre Robert Thomas Walter William".split()
 FEMALE_CYRILLIC = "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split()
 MALE_CYRILLIC = "Александр Алексей Андрей Борис Виктор Дмитрий Иван Николай Павел Сергей".split()
-FAMILY = "Anderson Bauer Becker Bernard Brown Clark Davis Dubois Durand Fernandez Fischer Garcia Gomez Hoffmann Jackson Johnson Jones Klein Koch Lambert Laurent Lewis Lopez Martinez Meyer Miller Moore Moreau Morgan Muller Navarro Neumann Parker Perez Petit Richter Robinson Rodriguez Roux Sanchez Schmidt Schneider Schulz Simon Smith Taylor Torres Vega Wagner Weber White Williams Wilson Wolf Young Zimmermann".split()
+FAMILY = "Anderson Bauer Becker Brown Clark Davis Dubois Durand Fernandez Fischer Garcia Gomez Hoffmann Jackson Johnson Jones Klein Koch Lambert Laurent Lewis Lopez Martinez Meyer Miller Moore Moreau Morgan Muller Navarro Neumann Parker Perez Petit Richter Robinson Rodriguez Roux Sanchez Schmidt Schneider Schulz Simon Smith Taylor Torres Vega Wagner Weber White Williams Wilson Wolf Young Zimmermann".split()
 FAMILY_CYRILLIC = "Васильев Волков Иванов Козлов Кузнецов Лебедев Морозов Новиков Петров Попов Смирнов Соколов Фёдоров".split()
 NAME_LISTS = {"female": FEMALE, "male": MALE, "female-cyrillic": FEMALE_CYRILLIC, "male-cyrillic": MALE_CYRILLIC, "family": FAMILY, "family-cyrillic": FAMILY_CYRILLIC}
 LISTED = {name.lower(): (kind, at, names) for kind, names in NAME_LISTS.items() for at, name in enumerate(names)}
@@ -62,7 +62,7 @@ PATTERNS: list[tuple[str, str, re.Pattern[str], tuple[str, ...]]] = [
     ("ipv4", "0123456789", re.compile(r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d|[^\W\d_])"), ()),
     ("phone", "0123456789", re.compile(r"(?<![\w.])(?P<v>(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])"), ()),
     ("ssn", "-", re.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])"), ()),
-    ("card", "0123456789", re.compile(r"(?<![\w.])(?P<v>\d(?:[ -]?\d){12,18})(?![\w])"), ()),
+    ("card", "0123456789", re.compile(r"(?<![\w.])(?P<v>\d(?:[ -]?\d){12,18})(?!\w|\.\d)"), ()),
     ("hex_token", "0123456789", re.compile(r"(?<!\w)(?P<v>(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?!\w)"), ()),
 ]
 TITLED = re.compile(rf"\b{TITLE}\.? (?P<v>{NAME}(?: {NAME}){{0,2}})")
