@@ -17,9 +17,12 @@ QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
 def hash_mask(hashed: DataFrame, *by: str) -> DataFrame:
     """Bits that all hashes (column h) share: shared_hash, and hash_mask with a 1 where they agree."""
-    both = hashed.groupBy(*by).agg(F.bit_and("h").alias("shared_hash"), F.bit_or("h").alias("any"))
-    mask = F.bitwise_not(F.col("shared_hash").bitwiseXOR(F.col("any"))).bitwiseAND(F.lit(MASK))
-    return both.select(*by, "shared_hash", mask.alias("hash_mask"))
+    return hashed.groupBy(*by).agg(F.bit_and("h").alias("shared_hash"), agreeing_bits(F.bit_and("h"), F.bit_or("h")).alias("hash_mask"))
+
+
+def agreeing_bits(every: Column, some: Column) -> Column:
+    """The bits that are alike in all hashes, from their bitwise and, and their bitwise or."""
+    return F.bitwise_not(every.bitwiseXOR(some)).bitwiseAND(F.lit(MASK))
 
 
 def counts(entries: DataFrame, *by: str) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import CODECS, hash_of, lookup, shard_bits, shard_of
 from ..functions.text import entry_bytes
 from ..operators.lookup import BROADCAST_KEYS
-from ..operators.merge import dedupe, fold, last_wins
-from ..operators.stats import hash_mask
+from ..operators.merge import dedupe, fold, last_wins, stack
+from ..operators.stats import agreeing_bits
 
 FORMAT = "keyloom-1"
 MANIFEST = {"format", "hash", "codec", "shards", "shard", "entries", "bytes", "shared_hash", "hash_mask"}
@@ -48,10 +48,17 @@ def build(
     writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.page.write-checksum.enabled", "true").parquet(f"{path}/entries")
     spark = entries.sparkSession
     written = _entries(spark, path, rows.schema["key"].dataType.simpleString(), rows.schema["value"].dataType.simpleString()).withColumn("h", h)
-    sizes = written.groupBy("shard").agg(F.count("*").alias("entries"), F.sum(entry_bytes(F.col("key"), F.col("value"))).alias("bytes"))
-    facts = sizes.join(hash_mask(written, "shard"), "shard")
-    told = facts.select(F.lit(FORMAT).alias("format"), F.lit(hash_name).alias("hash"), F.lit(codec).alias("codec"), F.lit(shards).alias("shards"), "shard", "entries", "bytes", "shared_hash", "hash_mask")
-    none = spark.range(1).select(F.lit(FORMAT).alias("format"), F.lit(hash_name).alias("hash"), F.lit(codec).alias("codec"), F.lit(shards).alias("shards"), F.lit(-1).alias("shard"), F.lit(0).cast("long").alias("entries"), F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("shared_hash"), F.lit(0).cast("long").alias("hash_mask"))
+    # one pass over the written keys and values gives all that the manifest tells
+    facts = written.groupBy("shard").agg(
+        F.count("*").alias("entries"),
+        F.sum(entry_bytes(F.col("key"), F.col("value"))).alias("bytes"),
+        F.bit_and("h").alias("shared_hash"),
+        agreeing_bits(F.bit_and("h"), F.bit_or("h")).alias("hash_mask"),
+    )
+    settings = [F.lit(FORMAT).alias("format"), F.lit(hash_name).alias("hash"), F.lit(codec).alias("codec"), F.lit(shards).alias("shards")]
+    told = facts.select(*settings, "shard", "entries", "bytes", "shared_hash", "hash_mask")
+    zero = F.lit(0).cast("long")
+    none = spark.range(1).select(*settings, F.lit(-1).alias("shard"), *[zero.alias(n) for n in ("entries", "bytes", "shared_hash", "hash_mask")])
     # the row of shard -1 keeps the settings of a store without entries
     told.unionByName(none).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
     return open_store(spark, path)
@@ -142,7 +149,5 @@ def merge_stores(stores: list[Store], path: str, f=None, **options) -> Store:
     """Stores merged into a new one, which must lie elsewhere: the last one wins, or f folds the values, newest first."""
     if any(s.path.rstrip("/") == path.rstrip("/") for s in stores):
         raise ValueError("a store can't be merged into its own place")
-    from ..operators.merge import stack
-
     parts = [s.entries() for s in stores]
     return build(last_wins(*parts) if f is None else fold(stack(*parts), f), path, duplicates="keep", **options)
