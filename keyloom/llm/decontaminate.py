@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, map_columns, raw, replace_text
+from .common import ALNUM, durable, fresh, map_columns, raw, replace_text
 
 #: Text of test items that is held in one broadcast automaton; beyond it `scan` joins instead.
 MAX_ITEM_BYTES = 32 << 20
@@ -182,41 +182,41 @@ def scan_join(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items:
     The automaton's work is done by exploded windows of the documents, one set for each length that items
     have (the window, and the lengths of items shorter than it).
     """
-    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    rows = durable(docs.select("doc_id", _words().alias("ws"), F.expr("uuid()").alias("row")))
+    n_items = F.coalesce(F.size("found"), F.lit(0)).cast("long")
+    return rows.join(_joined(rows, benchmark, window), "row", "left").select(
+        "doc_id",
+        F.size("ws").cast("long").alias("n_words"),
+        F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"),
+        n_items.alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"),
+        (n_items >= min_items).alias("contaminated"),
+    )
+
+
+def _words() -> Column:
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.coalesce(F.regexp_extract_all(lower, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)), F.array().cast("array<string>"))
+
 
-    def windows(size):
-        return F.transform(
-            F.sequence(F.lit(1), F.size("ws") - size + 1), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("ws", i, size), " ").alias("w"))
-        )
+def _joined(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """(row, hits, found) of the rows (row, ws) that hold a window: places of the words hit, from 1, and the items' ids as text."""
 
-    items = benchmark.select("item_id", words.alias("ws")).where(F.size("ws") > 0)
+    def windows(size: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size("ws") - size + 1)
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("ws", i, size), " ").alias("w")))
+
+    items = benchmark.select("item_id", _words().alias("ws")).where(F.size("ws") > 0)
     items = items.withColumn("m", F.least(F.size("ws"), F.lit(window)))
     grams = items.select("item_id", "m", F.explode(windows(F.col("m"))).alias("x")).select("item_id", "m", "x.w").distinct()
-    rows = docs.select("doc_id", words.alias("ws"), F.expr("uuid()").alias("row"))
-    from .common import durable
-
-    rows = durable(rows)
     lengths = F.array(*[F.lit(m) for m in range(1, window + 1)])
     cut = rows.select("row", "ws", F.explode(lengths).alias("m")).where(F.size("ws") >= F.col("m"))
     seen = cut.select("row", "m", F.explode(windows(F.col("m"))).alias("x")).select("row", "m", "x.at", "x.w")
     met = seen.join(grams, ["m", "w"])
-    hits = met.select("row", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("p")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    places = met.select("row", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("p")).distinct()
+    hits = places.groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("hits"))
     owners = met.where("item_id IS NOT NULL").groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("found"))
-    n_items = F.coalesce(F.size("found"), F.lit(0)).cast("long")
-    return (
-        rows.join(hits, "row", "left")
-        .join(owners, "row", "left")
-        .select(
-            "doc_id",
-            F.size("ws").cast("long").alias("n_words"),
-            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            n_items.alias("n_items"),
-            F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"),
-            (n_items >= min_items).alias("contaminated"),
-        )
-    )
+    return hits.join(owners, "row", "left")
 
 
 def cut_spans(text: bytes, hit: np.ndarray) -> str:
@@ -240,7 +240,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
     pass untouched, null texts too.
     """
     if not fits(benchmark):
-        raise ValueError(f"the test items exceed {MAX_ITEM_BYTES} bytes: split the table and apply its parts in turn")
+        return _decontaminate_join(docs, benchmark, window, min_items, max_coverage)
     model = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +251,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
             for row, text in enumerate(raw(column)):
                 words = words_of(text)
                 hit, found = automaton.matches(words)
-                n = int(hit.sum())
                 found.discard(None)
-                keep.append(len(found) < min_items and n <= max_coverage * len(words))
-                if n and keep[-1]:
+                keep.append(_stays(hit, len(found), min_items, max_coverage))
+                if keep[-1] and hit.any():
                     texts[row] = cut_spans(text, hit)
             yield replace_text(batch, texts, keep)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _stays(hit: np.ndarray, n_items: int, min_items: int, max_coverage: float) -> bool:
+    return n_items < min_items and int(hit.sum()) <= max_coverage * len(hit)
+
+
+def _decontaminate_join(docs: DataFrame, benchmark: DataFrame, window: int, min_items: int, max_coverage: float) -> DataFrame:
+    """`decontaminate` for test items of any size, by the join of `scan_join`."""
+    row, hits, n = (fresh(docs, name) for name in ("row", "hits", "n"))
+    rows = durable(docs.withColumn(row, F.expr("uuid()")))
+    found = _joined(rows.select(F.col(row).alias("row"), _words().alias("ws")), benchmark, window)
+    found = found.select(F.col("row").alias(row), F.col("hits").alias(hits), F.coalesce(F.size("found"), F.lit(0)).alias(n))
+    wide = rows.join(found, row, "left").select(*[f"`{c}`" for c in docs.columns], hits, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("text"))
+            texts, keep = column.to_pylist(), []
+            for i, (text, places, items) in enumerate(zip(raw(column), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())):
+                hit = np.zeros(len(words_of(text)), dtype=bool)
+                hit[np.array(places or [], dtype=np.int64) - 1] = True
+                keep.append(_stays(hit, items or 0, min_items, max_coverage))
+                if keep[-1] and hit.any():
+                    texts[i] = cut_spans(text, hit)
+            yield replace_text(batch, texts, keep).select(docs_columns)
+
+    docs_columns = docs.columns
+    return wide.mapInArrow(run, docs.schema)

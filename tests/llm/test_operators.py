@@ -531,7 +531,9 @@ def test_items_beyond_the_bound_are_joined(spark, leaks, monkeypatch):
     assert sorted(map(tuple, decontaminate.scan(d, b).collect())) == slow_scan(docs, items)
 
 
-def test_spans_are_cut_out(spark, words):
+@pytest.mark.parametrize("bound", [1 << 20, 1])
+def test_spans_are_cut_out(spark, words, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", bound)
     item = " ".join(words[:20])
     docs = [(1, f"Clean start, {' '.join(words[100:160])}. {item}! And the end."), (2, item), (3, "nothing here"), (4, None)]
     out = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
