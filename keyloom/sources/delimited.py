@@ -31,7 +31,8 @@ def parse_lines(lines: DataFrame, delimiter: str = "\t", base64: bool = False, s
 def read_delimited(spark: SparkSession, paths: str | list[str], delimiter: str = "\t", base64: bool = False, strict: bool = False, src: int = 0) -> DataFrame:
     """Entries of text files or folders. Files whose name starts with _ or . are skipped, as always in Spark.
 
-    A later line counts as the later entry: ord grows along each file, and by file name between files.
+    A later line of a file counts as the later entry. Between the files of one call the order is fixed but not told by
+    their names: where it matters, read them as sources of their own.
     """
     lines = spark.read.text(paths).select("value", F.monotonically_increasing_id().alias("ord"))
     return parse_lines(lines, delimiter, base64, strict, src)

@@ -16,10 +16,10 @@ from ..sources.store import build, is_store, open_store
 def ingest(spark: SparkSession, incoming: str, stores: str, checkpoint: str, delimiter: str = "\t", shards: int = 16) -> StreamingQuery:
     """Starts a query that ends when all files at hand are read.
 
-    A batch is written under its number, so one that runs again after a failure replaces itself. Within a batch
-    the line that the file order puts last wins.
+    A batch is written under its number, so one that runs again after a failure replaces itself. Within a file of a
+    batch the last line of a key wins.
     """
-    lines = spark.readStream.text(incoming).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = spark.readStream.text(incoming)
 
     def add(batch: DataFrame, number: int) -> None:
         ordered = batch.select("value", F.monotonically_increasing_id().alias("ord"))
