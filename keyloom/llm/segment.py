@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import map_columns
 from .pieces import BYTE, MARK, Piece, model_path, read_pieces
 
-N_BEST, MEMO, LONG = 4, 250_000, 64
+N_BEST, MEMO, LONG = 4, 200_000, 64
 #: Stands for a word mark of the text itself; no text holds a lone surrogate.
 OWN_MARK = "\ud800"
 PARTS = (r" *\p{L}+| *[^\p{L} ]+| +", r" *[^ ]+| +", r"(?s).+")
@@ -45,10 +46,8 @@ class Lattice:
     def __init__(self, pieces: list[Piece]):
         plain = [(p.text.replace(MARK, " "), i, p.score) for i, p in enumerate(pieces) if p.plain]
         self.pieces = {text: (i, score) for text, i, score in plain if text}
-        #: Length of the longest piece that starts with a character.
-        self.reach: dict[str, int] = {}
-        for text in self.pieces:
-            self.reach[text[0]] = max(self.reach.get(text[0], 0), len(text))
+        #: Id and score of each piece, and no id for what only starts a piece.
+        self.prefixes: dict[str, tuple[int, float]] = {text[:end]: (-1, 0.0) for text in self.pieces for end in range(1, len(text))} | self.pieces
         self.bytes = {int(p.text[3:5], 16): i for i, p in enumerate(pieces) if p.kind == BYTE}
         usual = [p.score for p in pieces if p.plain and p.score > -1e8]
         #: Score of a byte piece: ten less than that of any usual piece.
@@ -58,19 +57,21 @@ class Lattice:
 
     def _ending(self, part: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """Edges (start, score, ids) into each position, and Viterbi scores."""
-        n, pieces, reach = len(part), self.pieces, self.reach
+        n, prefixes = len(part), self.prefixes
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         best = [-math.inf] * (n + 1)
         best[0] = 0.0
         for at in range(n):
             here = best[at]
-            for end in range(at + 1, min(n, at + reach.get(part[at], 0)) + 1):
-                found = pieces.get(part[at:end])
-                if found is not None:
+            for end in range(at + 1, n + 1):
+                found = prefixes.get(part[at:end])
+                if found is None:
+                    break
+                if found[0] >= 0:
                     into[end].append((at, found[1], (found[0],)))
                     if here + found[1] >= best[end]:
                         best[end] = here + found[1]
-            if part[at] not in pieces:
+            if part[at] not in self.pieces:
                 c = MARK if part[at] == OWN_MARK else part[at]
                 ids = tuple(self.bytes[b] for b in c.encode())
                 score = self.byte_score * len(ids)
@@ -80,24 +81,28 @@ class Lattice:
 
     def best(self, part: str) -> tuple[list[int], float, float]:
         """The ids that n_best puts first, their score, and the loss of the second best, in one forward pass."""
-        n, get, reach = len(part), self.pieces.get, self.reach
+        n, get = len(part), self.prefixes.get
         first, second = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
         back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
         first[0] = 0.0
         for at in range(n):
             here, next_ = first[at], second[at]
-            c = part[at]
-            for end in range(at + 1, min(n, at + reach.get(c, 0)) + 1):
+            for end in range(at + 1, n + 1):
                 found = get(part[at:end])
-                if found is not None:
-                    score = here + found[1]
-                    if score >= first[end]:
-                        second[end] = max(first[end], next_ + found[1])
-                        first[end] = score
-                        back[end] = (at, found[0])
-                    elif score > second[end]:
-                        second[end] = score
-            if get(c) is None:
+                if found is None:
+                    break
+                piece, score = found
+                if piece >= 0:
+                    whole = here + score
+                    if whole >= first[end]:
+                        other = next_ + score
+                        second[end] = first[end] if first[end] > other else other
+                        first[end] = whole
+                        back[end] = (at, piece)
+                    elif whole > second[end]:
+                        second[end] = whole
+            c = part[at]
+            if c not in self.pieces:
                 score = self.byte_score * len((MARK if c == OWN_MARK else c).encode())
                 if here + score >= first[at + 1]:
                     second[at + 1] = max(first[at + 1], next_ + score)
@@ -141,17 +146,23 @@ class Lattice:
 
 
 class Memo(dict):
-    """Part to (its best ids as bytes, their score, the loss of its second best); forgets all when it is full."""
+    """Part to (its best ids as bytes, their score, the loss of its second best).
+
+    When it is full, its entries become the older generation, from which those in use come back, and the rest is forgotten.
+    """
 
     def __init__(self, lattice: Lattice):
         super().__init__()
-        self.lattice = lattice
+        self.lattice, self.older = lattice, {}
 
     def __missing__(self, part: str) -> tuple[bytes, float, float]:
-        ids, score, loss = self.lattice.best(part)
-        entry = (array("i", ids).tobytes(), score, loss)
+        entry = self.older.get(part)
+        if entry is None:
+            ids, score, loss = self.lattice.best(part)
+            entry = (array("i", ids).tobytes(), score, loss)
         if len(part) <= LONG:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[part] = entry
         return entry
@@ -170,11 +181,12 @@ class Encoder:
         parts = self.lattice.part.findall(" " + text)
         found = list(map(self.memo.__getitem__, parts))
         score = sum([f[1] for f in found])
-        return b"".join([f[0] for f in found]), score, self._alternatives(parts, found, score)
+        best = [f[0] for f in found]
+        return b"".join(best), score, self._alternatives(parts, found, best, score)
 
-    def _alternatives(self, parts: list[str], found: list[tuple[bytes, float, float]], score: float):
+    def _alternatives(self, parts: list[str], found: list[tuple[bytes, float, float]], coded: list[bytes], score: float):
         more = self.n - 1
-        loss = np.fromiter((f[2] for f in found), dtype=np.float64, count=len(found))
+        loss = np.array([f[2] for f in found])
         chosen = np.flatnonzero(np.isfinite(loss))
         if len(chosen) > more:
             bound = np.partition(loss[chosen], more - 1)[more - 1]
@@ -188,7 +200,7 @@ class Encoder:
             sums = heapq.nsmallest(self.n, grown, key=lambda x: x[0])
         out = []
         for lost, picks in sums[1:]:
-            edits = [(sum(len(f[0]) for f in found[:at]) // 4, len(found[at][0]) // 4, ids) for at, ids in sorted(picks)]
+            edits = [(sum(map(len, coded[:at])) // 4, len(coded[at]) // 4, ids) for at, ids in sorted(picks)]
             out.append((score - lost, edits))
         return out
 
@@ -196,6 +208,17 @@ class Encoder:
         return b"".join(map(self.lattice.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+#: The worker's encoder, kept with its memo from task to task.
+_KEPT: dict[tuple[str, int], Encoder] = {}
+
+
+def kept_encoder(path: str, n_best: int, read: Callable[[], list[Piece]]) -> Encoder:
+    if (path, n_best) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path, n_best] = Encoder(Lattice(read()), n_best)
+    return _KEPT[path, n_best]
+
+
 EDITS = pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("edits", EDITS)]))
 SCHEMA = (
@@ -210,10 +233,11 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None) -> Da
     ids is the best segmentation. The next n_best - 1 follow in alternatives, each with its score and what it puts
     in the place of which pieces of the best one. restored tells that decoding gives back the text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_pieces(path or model_path()))
+    file = path or model_path()
+    shared = docs.sparkSession.sparkContext.broadcast(read_pieces(file))
 
     def make():
-        encoder = Encoder(Lattice(shared.value), n_best)
+        encoder = kept_encoder(file, n_best, lambda: shared.value)
 
         def work(batch: pa.RecordBatch):
             ids, scores, others, same = [], [], [], []
@@ -243,10 +267,11 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None) -> Da
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of the rows (doc_id, ids); null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_pieces(path or model_path()))
+    file = path or model_path()
+    shared = encoded.sparkSession.sparkContext.broadcast(read_pieces(file))
 
     def make():
-        encoder = Encoder(Lattice(shared.value))
+        encoder = kept_encoder(file, N_BEST, lambda: shared.value)
 
         def work(batch: pa.RecordBatch):
             texts = [None if ids is None else encoder.decode(ids) for ids in batch.column(1).to_pylist()]
