@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, fold, map_columns, raw, remainder
 
-BITS, FOLDS, SAMPLE, EPOCHS = 20, 5, 12_000, 3
+BITS, FOLDS, SAMPLE, EPOCHS = 20, 5, 24_000, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 BIAS = 1 << BITS
 #: Multipliers of a pair's words, for each distance between them.
@@ -73,10 +73,12 @@ class Ftrl:
         self.z, self.n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
+        """Weights at these coordinates, of which the bias comes last; it alone is not shrunk."""
         z = self.z[at]
-        # the bias is not shrunk
-        l1 = np.where(np.arange(BIAS + 1)[at] == BIAS, 0.0, L1)
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
+        w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2)
+        w[np.abs(z) <= L1] = 0.0
+        w[-1] = -z[-1] / ((BETA + math.sqrt(self.n[-1])) / ALPHA + L2)
+        return w
 
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
