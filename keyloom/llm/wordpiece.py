@@ -16,6 +16,8 @@ a row. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from .common import map_columns, raw
 from .pieces import MARK, model_path, read_pieces
 
 #: Words whose counts a task remembers at once.
-MEMO = 400_000
+MEMO = 300_000
 
 
 def vocabulary(path: str | None = None) -> tuple[list[str], list[str]]:
@@ -92,27 +94,45 @@ class Automaton:
 
 
 class Memo(dict):
-    """Word to number of pieces, 0 for unknown; forgets all when it is full."""
+    """Word to number of pieces, 0 for unknown.
+
+    When it is full, its entries become the older generation, from which those in use come back, and the rest is forgotten.
+    """
 
     def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.older = automaton, {}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        n = self.automaton.walk(word.decode())
+        n = self.older.get(word)
+        if n is None:
+            n = self.automaton.walk(word.decode())
         if len(word) <= 64:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
             self[word] = n
         return n
 
 
+#: The worker's memo, kept from task to task.
+_KEPT: dict[str, Memo] = {}
+
+
+def kept_memo(path: str, read: Callable[[], tuple[list[str], list[str]]]) -> Memo:
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Memo(Automaton(*read()))
+    return _KEPT[path]
+
+
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_tokens (an unknown word is one token), n_unknown."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    file = path or model_path()
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(file))
 
     def make():
-        memo = Memo(Automaton(*shared.value))
+        memo = kept_memo(file, lambda: shared.value)
 
         def work(batch: pa.RecordBatch):
             rows = np.zeros((batch.num_rows, 3), dtype=np.int64)
