@@ -99,15 +99,20 @@ def paths(messages: DataFrame) -> DataFrame:
     return found
 
 
-def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
+def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assistant", unique: bool = False) -> DataFrame:
     """The best `branches` paths of each tree, as (conv_id, leaf_id, rank, score, n_turns, formatted, spans).
 
-    A tree is a root message with all that answers it; a conversation with several roots has several trees.
+    A tree is a root message with all that answers it; a conversation with several roots has several trees. `unique` promises that no message_id occurs twice in a conversation,
+    which saves a shuffle of the texts.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c")
-    body = F.struct("parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    once = messages.groupBy(key, F.col("message_id").alias("node")).agg(F.first("conv_id").alias("conv_id"), F.min(body).alias("m"))
-    once = durable(once.select("c", "node", "conv_id", "m.*"))
+    fields = ["parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")]
+    node = F.col("message_id").alias("node")
+    if unique:
+        once = durable(messages.select(key, node, "conv_id", *fields))
+    else:
+        one = messages.groupBy(key, node).agg(F.first("conv_id").alias("conv_id"), F.min(F.struct(*fields)).alias("m"))
+        once = durable(one.select("c", "node", "conv_id", "m.*"))
     known = once.select("c", F.col("node").alias("parent_id"), F.lit(True).alias("known"))
     tree = once.join(known, ["c", "parent_id"], "left").select("c", "node", F.when(F.col("known") & (F.col("parent_id") != F.col("node")), F.col("parent_id")).alias("up"))
     placed = paths(durable(tree)).join(once.drop("parent_id"), ["c", "node"])

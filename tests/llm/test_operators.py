@@ -95,11 +95,12 @@ def test_stages_keep_columns(spark, odd, name):
 # -- 1: chat formatting
 
 
-def test_chat_round_trip_and_escapes(spark):
+@pytest.mark.parametrize("unique", [False, True])
+def test_chat_round_trip_and_escapes(spark, unique):
     texts = ["plain", "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x", "<", "|>", None, "", "a\n\nb", "<|", "\\", "$1 \\1"]
     rows = [(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(texts)] + [(2, 0, None, None), (None, 0, "we%ird\n<role", "x"), (3, 1, "user", "b"), (3, 1, "user", "a"), (3, 1, "user", "a")]
     flat = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.format_trees(chat.chains(clash(flat)))
+    out = chat.format_trees(chat.chains(clash(flat)), unique=unique)
     back = out.select("conv_id", "formatted", "spans", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("spans")).alias("l")).collect()
     found = {r["conv_id"]: [(t["role"], t["text"]) for t in r["t"]] for r in back}
     wanted = defaultdict(list)
