@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import map_columns
 from .pieces import BYTE, MARK, Piece, model_path, read_pieces
 
-N_BEST, MEMO, LONG = 4, 200_000, 64
+N_BEST, MEMO, LONG = 4, 300_000, 64
 #: Stands for a word mark of the text itself; no text holds a lone surrogate.
 OWN_MARK = "\ud800"
 PARTS = (r" *\p{L}+| *[^\p{L} ]+| +", r" *[^ ]+| +", r"(?s).+")
@@ -171,6 +171,7 @@ class Memo(dict):
 class Encoder:
     def __init__(self, lattice: Lattice, n_best: int = N_BEST):
         self.lattice, self.n, self.memo = lattice, n_best, Memo(lattice)
+        self.others: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     def encode(self, text: str) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Best ids as bytes, their score, and the alternatives as (score, edits); an edit is (at, length, ids)."""
@@ -194,8 +195,7 @@ class Encoder:
             chosen = np.concatenate((below, equal[: more - len(below)]))
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for at in chosen.tolist():
-            best = tuple(np.frombuffer(found[at][0], dtype=np.int32).tolist())
-            ways = [way for way in self.lattice.n_best(parts[at], self.n) if way[1] != best][:more]
+            ways = self._others(parts[at], coded[at])
             grown = sums + [(s + found[at][1] - way, (*picks, (at, ids))) for s, picks in sums for way, ids in ways]
             sums = heapq.nsmallest(self.n, grown, key=lambda x: x[0])
         out = []
@@ -204,6 +204,18 @@ class Encoder:
             out.append((score - lost, edits))
         return out
 
+    def _others(self, part: str, coded: bytes) -> list[tuple[float, tuple[int, ...]]]:
+        """The n - 1 best segmentations of a part next to its best one."""
+        ways = self.others.get(part)
+        if ways is None:
+            best = tuple(np.frombuffer(coded, dtype=np.int32).tolist())
+            ways = [way for way in self.lattice.n_best(part, self.n) if way[1] != best][: self.n - 1]
+            if len(part) <= LONG:
+                if len(self.others) >= MEMO // 10:
+                    self.others.clear()
+                self.others[part] = ways
+        return ways
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.lattice.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
