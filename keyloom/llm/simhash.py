@@ -12,6 +12,12 @@ dropped, the rest verified bit by bit. Lists longer than `max_list` are not comp
 a fourth byte, then by fifths of the other bits, which again loses no pair. Lists give the edges of a spanning
 forest, not all pairs, and only distinct fingerprints are indexed, so copies of one text cost nothing.
 
+`deduplicate_similar`, the pipeline's stage, links texts by content instead: two texts are similar if their sets of
+five-word shingles have a Jaccard similarity of 0.8 or more. Copies, up to case and blanks, are met first. Of the
+distinct texts, candidates share one of 20 bands of 4 MinHash values each, which a pair at 0.8 misses with a
+chance of 3 in 100,000, and every candidate pair's sets are compared. In each band's list all texts are compared to the first,
+then all pairs that are not yet in one component.
+
 Defined results: a null or empty text, or one of blanks, has fingerprint zero and links like any other; a text of
 fewer than four words has one shingle, itself. A null doc_id never names a component unless the component
 has no other; repeated rows each get a row. An empty table gives an empty result.
@@ -32,6 +38,8 @@ from pyspark.sql.window import Window
 from .common import durable, fresh, map_columns, raw
 
 SEED, SHINGLE, MAX_BITS, MAX_LIST = 42, 4, 4, 4096
+#: Similar texts: words in a shingle, minima in a band, bands; row numbers that are broadcast at most.
+LONG_SHINGLE, BAND, BANDS, MAX_BROADCAST = 5, 4, 20, 1 << 20
 
 
 def _triples() -> list[tuple[int, ...]]:
@@ -45,18 +53,18 @@ def _triples() -> list[tuple[int, ...]]:
 TRIPLES = _triples()
 
 
-def fingerprint(text: bytes | None) -> int:
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+def _shingles(words: list[bytes], size: int) -> np.ndarray:
+    """The hashes of all shingles of some words, repeats included; fewer words than `size` are one shingle."""
+    joined, size = b" ".join(words), min(size, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: -SHINGLE] + 1)).tolist()
+    starts = np.concatenate(([0], ends[:-size] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())], dtype=np.uint64)
-    return _majority(hashes)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())], dtype=np.uint64)
+
+
+def fingerprint(text: bytes | None) -> int:
+    words = text.lower().split() if text else []
+    return _majority(_shingles(words, SHINGLE)) if words else 0
 
 
 #: The lowest bit of each byte lane.
@@ -270,3 +278,94 @@ def deduplicate(docs: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     out = docs.withColumn(key, text_id).join(kept, key, "left_semi")
     once = Window.partitionBy(key).orderBy(F.xxhash64("text"))
     return out.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _sketch(text: bytes | None) -> tuple[bytes, list[int]]:
+    """A digest of the text's words, and the keys of its bands; a text without words has none."""
+    words = text.lower().split() if text else []
+    digest = xxhash.xxh3_128_digest(b" ".join(words))
+    if not words:
+        return digest, []
+    hashes, low = np.unique(_shingles(words, LONG_SHINGLE)), np.full(BAND * BANDS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 512):
+        low = np.minimum(low, (hashes[at : at + 512, None] * FACTORS + TERMS).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(low.reshape(BANDS, BAND))]
+    return digest, np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+#: One linear function of a shingle's hash for each minimum.
+FACTORS, TERMS = np.random.default_rng(SEED).integers(1 << 64, size=(2, BAND * BANDS), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written so that it stays the same, and the number's column."""
+    row = fresh(docs, "row")
+    return durable(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _of_rows(docs: DataFrame, row: str, rows: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined to row numbers (column row), without a shuffle of the texts if these are few."""
+    few = rows.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    numbers = rows.select(F.col("row").alias(row))
+    return docs.join(F.broadcast(numbers) if few else numbers, row, how)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, row: str) -> DataFrame:
+    """The pairs (a, b) of row numbers whose texts' shingle sets are similar."""
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            words = [t.lower().split() if t else [] for t in raw(batch.column(1))]
+            sets = [np.unique(_shingles(w, LONG_SHINGLE)).view(np.int64) if w else np.empty(0, np.int64) for w in words]
+            return {"row": batch.column(0), "hashes": pa.array(sets, pa.list_(pa.int64()))}
+
+        return work
+
+    wanted = durable(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
+    sets = durable(map_columns(_of_rows(docs.select(row, "text"), row, wanted, "left_semi"), "row long, hashes array<long>", make))
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
+    # common / (x + y - common) >= 4/5
+    return durable(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+
+
+def _similar(posts: DataFrame, docs: DataFrame, row: str) -> DataFrame:
+    """Edges (a, b) that span the components of similar texts; posts has each text's band keys and row number."""
+    one = Window.partitionBy("key")
+    lists = durable(posts.select("key", "row", F.min("row").over(one).alias("low"), F.max("row").over(one).alias("high")).where("low <> high"))
+    first = durable(lists.where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b")).distinct())
+    edges = _verified(first, docs, row)
+    named = lists.select("key", "row").join(components(edges).withColumnRenamed("node", "row"), "row", "left")
+    named = durable(named.select("key", "row", F.coalesce("root", "row").alias("root")))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = named.join(mixed, "key", "left_semi")
+    other = left.select("key", F.col("row").alias("b"), F.col("root").alias("of_b"))
+    more = left.join(other, "key").where("row < b AND root <> of_b").select(F.col("row").alias("a"), "b").distinct()
+    return edges.unionByName(_verified(durable(more.join(first, ["a", "b"], "left_anti")), docs, row))
+
+
+def _one_each(docs: DataFrame, row: str, roots: DataFrame) -> DataFrame:
+    """docs with one row of each component in roots (row, doc_id, root): its smallest doc_id, then its first row."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = roots.groupBy("root").agg(F.min(order)["row"].alias("best"))
+    return _of_rows(docs, row, durable(roots.join(best, "root").where("row <> best").select("row")), "left_anti").drop(row)
+
+
+def deduplicate_similar(docs: DataFrame) -> DataFrame:
+    """docs, all columns kept, with one row of each component of similar texts: its smallest doc_id, then its first row."""
+    docs, row = _numbered(docs)
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            found = [_sketch(t) for t in raw(batch.column(2))]
+            return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array([d for d, _ in found], pa.binary()), "keys": pa.array([k for _, k in found], pa.list_(pa.int64()))}
+
+        return work
+
+    rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = durable(map_columns(rows, "row long, doc_id long, digest binary, keys array<long>", make))
+    texts = rows.groupBy("digest").agg(F.min("row").alias("node"))
+    copies = durable(rows.select("row", "doc_id", "digest").join(texts, "digest").select("row", "doc_id", "node"))
+    posts = rows.join(copies.where("row = node").select("row"), "row", "left_semi").select(F.explode("keys").alias("key"), "row")
+    linked = components(_similar(posts, docs, row))
+    return _one_each(docs, row, copies.join(linked, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"))).select(*[f"`{c}`" for c in docs.columns if c != row])
