@@ -20,7 +20,8 @@ then all pairs that are not yet in one component.
 
 Defined results: a null or empty text, or one of blanks, has fingerprint zero and links like any other; a text of
 fewer than four words has one shingle, itself. A null doc_id never names a component unless the component
-has no other; repeated rows each get a row. An empty table gives an empty result.
+has no other; repeated rows each get a row. The deduplicating functions number the rows, so rows that share a doc_id or have none
+are told apart. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -249,12 +250,16 @@ def components(edges: DataFrame) -> DataFrame:
     return rows.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(rows.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def classes(rows: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """(fp, component_id) of every fingerprint in rows (doc_id, fp)."""
+def _rooted(rows: DataFrame, max_list: int) -> DataFrame:
+    """(fp, first, root) of every fingerprint in rows (doc_id, fp): its smallest doc_id, and its component's smallest fingerprint."""
     fps = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(fps.select("fp"), max_list))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = durable(rooted)
+    return durable(fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
+def classes(rows: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
+    """(fp, component_id) of every fingerprint in rows (doc_id, fp)."""
+    rooted = _rooted(rows, max_list)
     return rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
 
 
@@ -266,18 +271,12 @@ def near_duplicates(docs: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """docs, all columns kept, with one row of each component: its smallest doc_id.
-
-    Rows with one doc_id count as one document; of them the row with the smallest text hash stays.
-    """
-    rows = durable(fingerprints(docs))
-    kept = rows.join(classes(rows, max_list), "fp").where("doc_id <=> component_id")
-    text_id = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
-    key, nth = fresh(docs, "key"), fresh(docs, "nth")
-    kept = kept.select(text_id.alias(key)).distinct()
-    out = docs.withColumn(key, text_id).join(kept, key, "left_semi")
-    once = Window.partitionBy(key).orderBy(F.xxhash64("text"))
-    return out.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*[f"`{c}`" for c in docs.columns])
+    """docs, all columns kept, with one row of each component of links: its smallest doc_id, then its first row."""
+    docs, row = _numbered(docs)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row"))
+    rows = durable(fingerprints(narrow, "row"))
+    roots = rows.join(_rooted(rows, max_list), "fp").select("row", "doc_id", "root")
+    return _one_each(docs, row, roots).select(*[f"`{c}`" for c in docs.columns if c != row])
 
 
 def _sketch(text: bytes | None) -> tuple[bytes, list[int]]:

@@ -3,7 +3,10 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline
+from keyloom.llm import simhash
 
 from tests.llm.test_operators import DOCS, slow_fingerprint
 
@@ -50,3 +53,13 @@ def test_similar_texts_beyond_four_bits_are_found(spark, sf):
     far = [(a, b) for a, b in itertools.combinations([t for _, t in rows[:80]], 2) if 5 * len(slow_set(a) & slow_set(b)) >= 4 * len(slow_set(a) | slow_set(b)) and bin(slow_fingerprint(a) ^ slow_fingerprint(b)).count("1") > 4]
     kept = {r["n_chars"] for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), sf).collect()}
     assert far and kept == set(slow_firsts(rows))
+
+
+@pytest.mark.parametrize("stage", [simhash.deduplicate, simhash.deduplicate_similar])
+def test_unlike_rows_without_or_with_the_same_id_stay(spark, stage):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(5)]
+    # a copy of document 1 shares its doc_id 7 with another text, and comes with one of no doc_id
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (1, texts[3]), (None, texts[3]), (9, texts[4]), (9, texts[4])]
+    kept = sorted(r["n_chars"] for r in stage(frame(spark, rows)).collect())
+    assert kept in ([0, 1, 2, 4, 6], [0, 1, 2, 4, 7])
