@@ -12,7 +12,7 @@ its text in the formatted string, in code points, and whether it is under the lo
 
 Defined results: a null role or text is empty; a null score counts as 0. A message whose parent is null,
 absent from its conversation, or itself is a root; a message on or behind a circle of parents is a tree of its own, so
-no message is lost. Of rows with one conv_id and message_id the one with the smallest (parent_id, role, text) counts.
+no message is lost; one without a message_id is a message of its own, its id below all others. Of rows with one conv_id and message_id the one with the smallest (parent_id, role, text) counts.
 Ties between paths go to the smallest leaf. Flat conversations are ordered by turn, then role and text; repeated rows are
 repeated turns. A null conv_id is a conversation of its own. An empty table gives an empty result. Extra columns
 are ignored.
@@ -99,6 +99,18 @@ def paths(messages: DataFrame) -> DataFrame:
     return found
 
 
+def _identified(messages: DataFrame, key: Column) -> DataFrame:
+    """Messages without a message_id get one each, below all ids that occur in their conversation."""
+    if not messages.schema["message_id"].nullable:
+        return messages
+    names = ["conv_id", "message_id", "parent_id", "role", "text", "score"]
+    rows = messages.select(key, *names)
+    lowest = rows.groupBy("c").agg(F.least(F.min("message_id"), F.min("parent_id"), F.lit(0)).alias("low"))
+    nth = F.row_number().over(Window.partitionBy("c").orderBy("parent_id", "role", "text", "score"))
+    own = rows.where("message_id IS NULL").withColumn("nth", nth).join(lowest, "c").withColumn("message_id", F.col("low") - F.col("nth"))
+    return rows.where("message_id IS NOT NULL").select(*names).unionByName(own.select(*names))
+
+
 def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assistant", unique: bool = False) -> DataFrame:
     """The best `branches` paths of each tree, as (conv_id, leaf_id, rank, score, n_turns, formatted, spans).
 
@@ -107,6 +119,7 @@ def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assis
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c")
     fields = ["parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")]
+    messages = durable(_identified(messages, key)) if messages.schema["message_id"].nullable else messages
     node = F.col("message_id").alias("node")
     if unique:
         once = durable(messages.select(key, node, "conv_id", *fields))
