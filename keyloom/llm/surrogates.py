@@ -5,12 +5,15 @@ and person names (behind an honorific, or a known given name before a known fami
 of these names in the same text follow).
 
 Every kind is mapped by a keyed permutation without fixed points of all values of its format: x goes to P^-1(P(x) + 1),
-P being a Feistel network, walked along its cycle while it leaves the format. So one entity has one surrogate in the whole
+P being a Feistel network, walked along its cycle while it leaves the format. So, but for collisions, one entity has one surrogate in the whole
 corpus, however it is written (coreference), two never share one (distinctness), and none keeps its value, with no
 table of the corpus. Check digits (Luhn, ISO 7064) are made anew, letter case and separators stay. Known given names
 go to known ones of their gender and script, known family names to known ones of their script, other names to names of
 the same pattern of vowels and consonants that are not known ones. Collision check: should a surrogate equal an original
-of the same kind in the same text, the step along the permutation is taken from the second keyed one, for all of the text.
+of the same kind in the same text, the step along the permutation is taken from the second keyed one, for all of the text, up to
+the eighth. If these leave a name colliding (a text may hold most of a list), the text's names get unlisted ones, longer by two
+letters at each further attempt and at last longer than any of its names. In a text with a later attempt,
+coreference and distinctness hold within it, not towards other texts.
 
 Defined results: a null text stays null, an empty one empty, with no entities. Where candidates overlap, the one that
 starts first counts, then the kind listed first. Repeated rows each get a row. An empty table gives an empty result.
@@ -32,6 +35,8 @@ from .common import map_columns, replace_text
 
 KEY = b"keyloom surrogate key; give your own in production"
 ROUNDS = 8
+#: Permutations for a text before its names leave the lists.
+ATTEMPTS = 8
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
@@ -65,7 +70,7 @@ PATTERNS: list[tuple[str, str, re.Pattern[str], tuple[str, ...]]] = [
     ("card", "0123456789", re.compile(r"(?<![\w.])(?P<v>\d(?:[ -]?\d){12,18})(?!\w|\.\d)"), ()),
     ("hex_token", "0123456789", re.compile(r"(?<!\w)(?P<v>(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?!\w)"), ()),
 ]
-TITLED = re.compile(rf"\b{TITLE}\.? (?P<v>{NAME}(?: {NAME}){{0,2}})")
+TITLED = re.compile(rf"\b{TITLE}\.? (?P<v>{NAME}(?: {NAME})*)")
 KNOWN = re.compile(rf"\b(?P<v>(?:{'|'.join(n for k, names in NAME_LISTS.items() if not k.startswith('family') for n in names)}) (?:{'|'.join(FAMILY + FAMILY_CYRILLIC)}))\b")
 
 
@@ -211,14 +216,16 @@ class Surrogates:
         return "".join(next(new) if c != " " else c for c in value)
 
     def _person(self, tweak: str, value: str) -> str:
-        return " ".join(self.name(tweak, part) for part in value.split(" "))
+        longer = max(0, int(tweak.partition("#")[2] or 0) - ATTEMPTS + 1)
+        return " ".join(self.name(tweak, part, longer) for part in value.split(" "))
 
-    def name(self, tweak: str, part: str) -> str:
-        listed = LISTED.get(part.lower())
+    def name(self, tweak: str, part: str, longer: int = 0) -> str:
+        listed = None if longer else LISTED.get(part.lower())
         if listed:
             kind, at, names = listed
             new = names[self.permutation.move(f"{tweak}|{kind}", at, len(names))]
             return new.upper() if part.isupper() else new
+        part += (part[-2:] if part.isupper() else part[-2:].lower()) * longer
         alphabets = [VOWELS if c in VOWELS else CONSONANTS if c in CONSONANTS else a for c, a in zip(part.lower(), _kinds(part))]
         new = self.mix(tweak, part, alphabets)
         while new.lower() in LISTED:
@@ -235,7 +242,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span("v"), rank, kind) for m in pattern.finditer(text)]
     names = [(*m.span("v"), 99, "person") for p in (TITLED, KNOWN) for m in p.finditer(text)]
     if names:
-        parts = sorted({p for a, b, _, _ in names for p in text[a:b].split(" ") if len(p) > 2}, key=len, reverse=True)
+        parts = sorted({p for a, b, _, _ in names for p in text[a:b].split(" ")}, key=len, reverse=True)
         found += names
         found += [(*m.span(), 100, "person") for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, parts))})\b", text)] if parts else []
     out, end = [], 0
@@ -259,7 +266,8 @@ def rewrite(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[int, int
     attempt = 0
     while True:
         new = [surrogates.of(kind, text[a:b], attempt) for a, b, kind in found]
-        if attempt == 8 or not any((kind, plain(kind, n)) in originals for n, (_, _, kind) in zip(new, found)):
+        colliding = {kind for n, (_, _, kind) in zip(new, found) if (kind, plain(kind, n)) in originals}
+        if not colliding or (attempt >= ATTEMPTS and "person" not in colliding):
             break
         attempt += 1
     out, at = [], 0

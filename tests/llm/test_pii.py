@@ -10,3 +10,21 @@ def test_secrets_behind_a_colon_need_no_digits(text):
     value = text.split(":")[1].strip().split(" is")[0].strip("'")
     new, found = surrogates.rewrite(text, surrogates.Surrogates())
     assert [k for _, _, k in found] == ["secret"] and value not in new and len(new) == len(text)
+
+
+def test_a_text_with_most_of_a_list_has_no_collision():
+    names = surrogates.FEMALE[:30]
+    text = " ".join(f"{n} Bauer met {n}." for n in names) + " Mrs Zoe and Mrs Li spoke."
+    new, found = surrogates.rewrite(text, surrogates.Surrogates())
+    old = {text[a:b] for a, b, _ in found}
+    swapped = new.replace(".", "").split()
+    bare = {n: swapped[4 * i + 3] for i, n in enumerate(names)}
+    assert old >= set(names) | {"Li"} and not set(bare.values()) & old
+    assert len(set(bare.values())) == len(names) and all(swapped[4 * i] == bare[n] for i, n in enumerate(names))
+
+
+def test_all_parts_of_a_name_and_short_ones_are_taken():
+    text = "Mr Carlos Antonio Ruiz Ortega came. Then Ortega and Mr Li left, said Li."
+    new, found = surrogates.rewrite(text, surrogates.Surrogates())
+    assert [text[a:b] for a, b, _ in found] == ["Carlos Antonio Ruiz Ortega", "Ortega", "Li", "Li"]
+    assert not {"Carlos", "Antonio", "Ruiz", "Ortega", "Li"} & set(new.replace(",", " ").replace(".", " ").split())
