@@ -12,7 +12,7 @@ its text in the formatted string, in code points, and whether it is under the lo
 
 Defined results: a null role or text is empty; a null score counts as 0. A message whose parent is null,
 absent from its conversation, or itself is a root; a message on or behind a circle of parents is a tree of its own, so
-no message is lost; one without a message_id is a message of its own, its id below all others. Of rows with one conv_id and message_id the one with the smallest (parent_id, role, text) counts.
+no message is lost; one without a message_id is a message of its own, its id below all others. Of rows with one conv_id and message_id the one with the smallest parent_id, then the smallest digest of role and text, counts.
 Ties between paths go to the smallest leaf. Flat conversations are ordered by turn, then role and text; repeated rows are
 repeated turns. A null conv_id is a conversation of its own. An empty table gives an empty result. Extra columns
 are ignored.
@@ -28,6 +28,8 @@ from .common import durable
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 OPENING = r"<(\\*)\|"
+#: Messages of a conversation, and its share of all, beyond which it isn't gathered in one task.
+HOT, MOST_HOT = 10_000, 10_000
 
 
 def escape(text: Column) -> Column:
@@ -46,12 +48,16 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%3C"), F.lit("<")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def chains(conversations: DataFrame) -> DataFrame:
-    """Flat conversations as trees of one branch: each turn answers the one before."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("message_id", F.row_number().over(w).cast("long"))
-    parent = F.when(F.col("message_id") > 1, F.col("message_id") - 1)
-    return rows.select("conv_id", "message_id", parent.alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
+def _key() -> Column:
+    """The conversation's key, never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c")
+
+
+def _contents(messages: DataFrame, *more: str | Column) -> DataFrame:
+    """Messages with key, role and text, never null, and `ref`: 128 bits of the SHA-256 of role and text, which stand for both."""
+    rows = messages.select(_key(), "conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    whole = F.concat(escape_role(F.col("role")), F.lit("\n"), F.col("text"))
+    return rows.withColumn("ref", F.unhex(F.substring(F.sha2(whole, 256), 1, 32)))
 
 
 def _jumps(nodes: DataFrame) -> list[DataFrame]:
@@ -60,7 +66,7 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
     nodes has c, node and up (null for a root). A message on or behind a circle never runs out of ancestors;
     once the distance exceeds the number of messages such ones are all that is left.
     """
-    levels = [durable(nodes.where("up IS NOT NULL"))]
+    levels = [nodes.where("up IS NOT NULL")]
     limit = nodes.count()
     while True:
         last = levels[-1]
@@ -99,41 +105,76 @@ def paths(messages: DataFrame) -> DataFrame:
     return found
 
 
-def _identified(messages: DataFrame, key: Column) -> DataFrame:
-    """Messages without a message_id get one each, below all ids that occur in their conversation."""
-    if not messages.schema["message_id"].nullable:
-        return messages
-    names = ["conv_id", "message_id", "parent_id", "role", "text", "score"]
-    rows = messages.select(key, *names)
-    lowest = rows.groupBy("c").agg(F.least(F.min("message_id"), F.min("parent_id"), F.lit(0)).alias("low"))
-    nth = F.row_number().over(Window.partitionBy("c").orderBy("parent_id", "role", "text", "score"))
-    own = rows.where("message_id IS NULL").withColumn("nth", nth).join(lowest, "c").withColumn("message_id", F.col("low") - F.col("nth"))
-    return rows.where("message_id IS NOT NULL").select(*names).unionByName(own.select(*names))
+def _identified(rows: DataFrame) -> DataFrame:
+    """Messages (c, node, parent, ref, score) without a node get one each, below all ids that occur in their conversation."""
+    lowest = rows.groupBy("c").agg(F.least(F.min("node"), F.min("parent"), F.lit(0)).alias("low"))
+    nth = F.row_number().over(Window.partitionBy("c").orderBy("parent", "ref", "score"))
+    own = rows.where("node IS NULL").withColumn("nth", nth).join(lowest, "c").withColumn("node", F.col("low") - F.col("nth"))
+    return rows.where("node IS NOT NULL").unionByName(own.select(*rows.columns))
 
 
-def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assistant", unique: bool = False) -> DataFrame:
+def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
     """The best `branches` paths of each tree, as (conv_id, leaf_id, rank, score, n_turns, formatted, spans).
 
-    A tree is a root message with all that answers it; a conversation with several roots has several trees. `unique` promises that no message_id occurs twice in a conversation,
-    which saves a shuffle of the texts.
+    A tree is a root message with all that answers it; a conversation with several roots has several trees.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c")
-    fields = ["parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")]
-    messages = durable(_identified(messages, key)) if messages.schema["message_id"].nullable else messages
-    node = F.col("message_id").alias("node")
-    if unique:
-        once = durable(messages.select(key, node, "conv_id", *fields))
+    told = _contents(messages, F.col("message_id").alias("node"), F.col("parent_id").alias("parent"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    rows = told.select("c", "node", "parent", "ref", "score")
+    rows = _identified(durable(rows)) if messages.schema["message_id"].nullable else rows
+    once = durable(rows.groupBy("c", "node").agg(F.min(F.struct("parent", "ref", "score")).alias("m")).select("c", "node", "m.*"))
+    known = once.select("c", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    up = F.when(F.col("known") & (F.col("parent") != F.col("node")), F.col("parent"))
+    return _format(once.join(known, ["c", "parent"], "left").select("c", "node", up.alias("up"), "score", "ref"), told, branches, loss_role)
+
+
+def format_chains(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
+    """`format_trees` of flat conversations (conv_id, turn, role, text): trees of one branch, each turn answering the one before."""
+    told = _contents(conversations, "turn")
+    rows = durable(told.select("c", "turn", "role", "ref"))
+    same = ["c", "turn", "role"]
+    tied = durable(rows.groupBy(*same).agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low <> high").select(*same))
+    if tied.isEmpty():
+        rows = rows.withColumn("place", F.lit(0))
     else:
-        one = messages.groupBy(key, node).agg(F.first("conv_id").alias("conv_id"), F.min(F.struct(*fields)).alias("m"))
-        once = durable(one.select("c", "node", "conv_id", "m.*"))
-    known = once.select("c", F.col("node").alias("parent_id"), F.lit(True).alias("known"))
-    tree = once.join(known, ["c", "parent_id"], "left").select("c", "node", F.when(F.col("known") & (F.col("parent_id") != F.col("node")), F.col("parent_id")).alias("up"))
-    placed = paths(durable(tree)).join(once.drop("parent_id"), ["c", "node"])
-    ends = placed.groupBy("c", "leaf").agg(F.avg("score").alias("score"), F.max_by("node", "above").alias("root"))
-    order = Window.partitionBy("c", "root").orderBy(F.desc("score"), "leaf")
-    best = ends.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).withColumnRenamed("score", "mean")
+        # only where turn and role tie do the texts decide
+        texts = told.select(*same, "ref", "text").join(tied, same, "left_semi").distinct()
+        place = F.row_number().over(Window.partitionBy(*same).orderBy("text")).alias("place")
+        rows = rows.join(durable(texts.select(*same, "ref", place)), [*same, "ref"], "left")
+    nth = F.row_number().over(Window.partitionBy("c").orderBy("turn", "role", "place")).cast("long")
+    nodes = rows.select("c", nth.alias("node"), "ref")
+    return _format(nodes.select("c", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("up"), F.lit(0.0).alias("score"), "ref"), told, 1, loss_role)
+
+
+def _format(nodes: DataFrame, told: DataFrame, branches: int, loss_role: str) -> DataFrame:
+    """Ranks the paths of the nodes (c, node, up, score, ref) and formats the best.
+
+    Texts stay out of all this until the chosen paths are known; then they are shuffled once, by conversation. Conversations
+    of over `HOT` messages and a `MOST_HOT`th of all are shuffled by text and by path instead, so none is gathered in one task.
+    """
+    nodes = durable(nodes)
+    found = paths(nodes.select("c", "node", "up"))
+    ends = found.join(nodes.select("c", "node", "score"), ["c", "node"]).groupBy("c", "leaf").agg(F.avg("score").alias("mean"), F.max_by("node", "above").alias("root"))
+    order = Window.partitionBy("c", "root").orderBy(F.desc("mean"), "leaf")
+    best = ends.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).drop("root")
+    chosen = durable(found.join(best, ["c", "leaf"]).join(nodes.select("c", "node", "ref"), ["c", "node"]).select("c", "ref", "leaf", "rank", "mean", "above"))
+    limit = max(HOT, nodes.count() // MOST_HOT)
+    hot = durable(nodes.groupBy("c").count().where(F.col("count") > limit).select("c"))
+    told = told.select("c", "ref", "conv_id", "role", "text")
+    if hot.isEmpty():
+        return _assemble(told, chosen, ["c"], loss_role)
+    # at most MOST_HOT keys
+    parts = [[df.join(F.broadcast(hot), "c", how) for df in (told, chosen)] for how in ("left_anti", "left_semi")]
+    return _assemble(*parts[0], ["c"], loss_role).unionByName(_assemble(*parts[1], ["c", "ref"], loss_role))
+
+
+def _assemble(told: DataFrame, chosen: DataFrame, by: list[str], loss_role: str) -> DataFrame:
+    """The chosen paths (c, ref, leaf, rank, mean, above) formatted, with the texts of told (c, ref, conv_id, role, text)."""
+    both = told.unionByName(chosen, allowMissingColumns=True).repartition(*by)
+    # the texts of a ref come before its places on paths, which all take the first
+    spoken = F.first(F.struct("conv_id", "role", "text")).over(Window.partitionBy("c", "ref").orderBy(F.col("rank").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    turn = both.withColumn("m", spoken).where("rank IS NOT NULL").select("c", "leaf", "rank", "mean", "above", "m.*")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    turn = placed.join(best, ["c", "leaf"]).select("c", "leaf", "rank", "mean", "conv_id", "above", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("loss"))
+    turn = turn.select("c", "leaf", "rank", "mean", "conv_id", "above", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("loss"))
     size = F.length("head") + F.length("body") + len(END)
     before = F.coalesce(F.sum(size.cast("long")).over(Window.partitionBy("c", "leaf").orderBy(F.desc("above")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     turn = turn.withColumn("start", before + F.length("head")).withColumn("end", F.col("start") + F.length("body"))

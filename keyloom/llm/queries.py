@@ -19,7 +19,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     forged = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(FORGERY).alias("text")
     )
-    out = chat.format_trees(chat.chains(flat.unionByName(forged)), unique=True)
+    out = chat.format_chains(flat.unionByName(forged))
     said = F.array_join(chat.read_loss(F.col("formatted"), F.col("spans")), "")
     told = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return out.select(

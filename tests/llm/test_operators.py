@@ -95,12 +95,14 @@ def test_stages_keep_columns(spark, odd, name):
 # -- 1: chat formatting
 
 
-@pytest.mark.parametrize("unique", [False, True])
-def test_chat_round_trip_and_escapes(spark, unique):
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_chat_round_trip_and_escapes(spark, hot, monkeypatch):
+    monkeypatch.setattr(chat, "HOT", hot)
+    monkeypatch.setattr(chat, "MOST_HOT", 1 << 40)
     texts = ["plain", "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x", "<", "|>", None, "", "a\n\nb", "<|", "\\", "$1 \\1"]
     rows = [(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(texts)] + [(2, 0, None, None), (None, 0, "we%ird\n<role", "x"), (3, 1, "user", "b"), (3, 1, "user", "a"), (3, 1, "user", "a")]
     flat = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.format_trees(chat.chains(clash(flat)), unique=unique)
+    out = chat.format_chains(clash(flat))
     back = out.select("conv_id", "formatted", "spans", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("spans")).alias("l")).collect()
     found = {r["conv_id"]: [(t["role"], t["text"]) for t in r["t"]] for r in back}
     wanted = defaultdict(list)
@@ -112,10 +114,13 @@ def test_chat_round_trip_and_escapes(spark, unique):
         escaped = [r["formatted"][s["start"] : s["end"]] for s in r["spans"]]
         assert [re.sub(r"<(\\*)\\\|", r"<\1|", e) for e in escaped] == [t for _, t in found[r["conv_id"]]]
         assert r["formatted"].count("<|im_start|>") == r["formatted"].count("<|im_end|>") == len(r["t"])
-    assert chat.format_trees(chat.chains(flat.where("false"))).count() == 0
+    assert chat.format_chains(flat.where("false")).count() == 0
 
 
-def test_reply_trees_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [10_000, 9])
+def test_reply_trees_against_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(chat, "HOT", hot)
+    monkeypatch.setattr(chat, "MOST_HOT", 1 << 40)
     rng = random.Random(11)
     rows = []
     for conv in range(4):
