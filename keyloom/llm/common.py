@@ -52,6 +52,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number for each row, written so that it stays the same, and the number's column."""
+    row = fresh(df, "row")
+    return durable(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without a detour over str."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -1,9 +1,13 @@
-"""Benchmark decontamination with a generalised suffix automaton over the words of all test items.
+"""Benchmark decontamination with generalised suffix automata over the words of all test items.
 
 A text is lower-cased (A-Z) and cut into the words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Each document is
-streamed once through the automaton, which gives at every word the length of the longest suffix that is a
+streamed through the automaton, which gives at every word the length of the longest suffix that is a
 stretch of some item. A length of `window` words or more means that an item window ends there.
 
+Items are cut into overlapping stretches of `STRETCH` words, which have the same windows, and dealt out to as many automata
+as keep each within `PART_WORDS` words. Executors build them, as flat arrays of at most `BYTES_PER_WORD` bytes a word. One
+automaton is broadcast at a time, and each takes a pass over the documents; usually there is only one.
+
 Defined results: a null or empty text has no words, no hits and the digest of the empty string. Items without
 words never occur; items shorter than the window occur as a whole; repeated items and items with one id merge;
 a null item id is left out of the digest list, though its words still count as hit. An empty benchmark table
@@ -13,56 +17,38 @@ hits nothing. Extra columns of either table are ignored by `scan` and kept by `d
 from __future__ import annotations
 
 import hashlib
+import pickle
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, durable, fresh, map_columns, raw, replace_text
+from .common import ALNUM, durable, fresh, map_columns, numbered, raw, replace_text
 
-#: Text of test items that is held in one broadcast automaton; beyond it `scan` joins instead.
-MAX_ITEM_BYTES = 32 << 20
+#: Words of test items in one automaton, in a stretch of an item, and bytes that an automaton takes for a word at most.
+PART_WORDS, STRETCH, BYTES_PER_WORD = 1 << 18, 1024, 220
+#: Words of more bytes than these are known by a digest, so that every word's size is bounded.
+LONG_WORD = 64
 
 
-class Automaton:
-    """Generalised suffix automaton of word sequences, with the items of each window in reach of a state."""
+def _short(word: bytes) -> bytes:
+    """The word, or for a long one a digest, which no word equals as no UTF-8 text holds the byte 0xFF."""
+    return word if len(word) <= LONG_WORD else b"\xff" + hashlib.blake2b(word, digest_size=32).digest()
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = 8):
-        self.window, self.vocabulary = window, {}
+
+class _Growing:
+    """A generalised suffix automaton while it is built: a dictionary of transitions for each state."""
+
+    def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ids: dict[tuple[int, ...], set[int | None]] = {}
-        for item, words in items:
-            if words:
-                key = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words)
-                ids.setdefault(key, set()).add(item)
-        self.shortest = min([window, *map(len, ids)])
-        for key in ids:
-            last = 0
-            for word in key:
-                last = self._extend(last, word)
-        self.items: list[set[int | None]] = [set() for _ in self.length]
-        self.shorts: list[list[tuple[int, set[int | None]]]] = [[] for _ in self.length]
-        for key, owners in ids.items():
-            state = 0
-            for word in key:
-                state = up = self.next[state][word]
-                while up > 0 and len(key) >= window and not owners <= self.items[up]:
-                    self.items[up] |= owners
-                    up = self.link[up]
-            if len(key) < window:
-                self.shorts[state].append((len(key), owners))
-        by_length = sorted(range(1, len(self.length)), key=self.length.__getitem__)
-        #: The state that holds the suffix of `window` words, and the nearest state on the way up with a short item.
-        self.anchor, self.short_up = [0] * len(self.length), [0] * len(self.length)
-        for v in by_length:
-            up = self.link[v]
-            self.anchor[v] = v if self.length[up] < window else self.anchor[up]
-            self.short_up[v] = v if self.shorts[v] else self.short_up[up]
+        self.link, self.length = array("i", [-1]), array("i", [0])
 
-    def _extend(self, last: int, word: int) -> int:
+    def extend(self, last: int, word: int) -> int:
         known = self.next[last].get(word)
         if known is not None:
             if self.length[known] == self.length[last] + 1:
@@ -73,9 +59,7 @@ class Automaton:
         while at >= 0 and word not in self.next[at]:
             self.next[at][word] = new
             at = self.link[at]
-        if at < 0:
-            self.link[new] = 0
-        else:
+        if at >= 0:
             known = self.next[at][word]
             self.link[new] = known if self.length[known] == self.length[at] + 1 else self._split(at, known, word)
         return new
@@ -94,129 +78,224 @@ class Automaton:
         self.length.append(length)
         return len(self.length) - 1
 
-    def matches(self, words: list[bytes]) -> tuple[np.ndarray, set[int | None]]:
+
+class Automaton:
+    """Generalised suffix automaton of word sequences in flat arrays, with the items of each window in reach of a state.
+
+    The edges of state s are first[s] to first[s + 1] in `words` (sorted) and `targets`; those of state 0 are in `root`. anchor[s] is
+    the state that holds the suffix of `window` words, up[s] the nearest state from s upwards where a shorter item ends.
+    owned[s] to owned[s + 1] are the places in `owners` of the items of a window, or shorter item, that state s stands for.
+    """
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = 8):
+        self.window, self.vocabulary = window, {}
+        vocabulary, keys, names = self.vocabulary, {}, {}
+        for item, words in items:
+            if words:
+                key = array("i", [vocabulary.setdefault(_short(w), len(vocabulary) + 1) for w in words]).tobytes()
+                keys.setdefault(key, set()).add(names.setdefault(item, len(names)))
+        self.ids: list[object] = list(names)
+        self.shortest = min([window, *(len(key) // 4 for key in keys)])
+        grown = _Growing()
+        for key in keys:
+            last = 0
+            for word in array("i", key):
+                last = grown.extend(last, word)
+        n = len(grown.length)
+        self.link, self.length = grown.link, grown.length
+        sizes = np.fromiter(map(len, grown.next[1:]), dtype=np.int64, count=n - 1)
+        self.first = array("i", np.concatenate(([0, 0], np.cumsum(sizes))).astype(np.int32).tobytes())
+        self.words, self.targets = array("i"), array("i")
+        for edges in grown.next[1:]:
+            for word in sorted(edges):
+                self.words.append(word)
+                self.targets.append(edges[word])
+        self.root = array("i", [grown.next[0].get(w, 0) for w in range(len(vocabulary) + 1)])
+        by_length = np.argsort(np.frombuffer(self.length, dtype=np.int32), kind="stable")[1:].tolist()
+        self.anchor, self.up = array("i", bytes(4 * n)), array("i", bytes(4 * n))
+        for v in by_length:
+            self.anchor[v] = v if self.length[self.link[v]] < window else self.anchor[self.link[v]]
+        pairs: set[tuple[int, int]] = set()
+        ends = bytearray(n)
+        for key, owners in keys.items():
+            state, size = 0, len(key) // 4
+            for at, word in enumerate(array("i", key), 1):
+                state = grown.next[state][word]
+                if at >= window or at == size:
+                    pairs.update((self.anchor[state] if at >= window else state, o) for o in owners)
+            ends[state] |= size < window
+        for v in by_length:
+            self.up[v] = v if ends[v] else self.up[self.link[v]]
+        flat = np.array(sorted(pairs), dtype=np.int32).reshape(-1, 2)
+        self.owned = array("i", np.searchsorted(flat[:, 0], np.arange(n + 1)).astype(np.int32).tobytes())
+        self.owners = array("i", flat[:, 1].tobytes())
+        self.has_long = any(w[0] == 0xFF for w in vocabulary)
+
+    def matches(self, words: list[bytes]) -> tuple[np.ndarray, set[object]]:
         """Which words lie in an occurrence of a window, and the items of these windows."""
-        hit, found = np.zeros(len(words) + 1, dtype=np.int32), set()
+        hit, states = np.zeros(len(words) + 1, dtype=np.int32), set()
         if not self.vocabulary:
-            return hit[:-1] > 0, found
+            return hit[:-1] > 0, set()
         known = self.vocabulary.get
-        ids = np.array([known(w, 0) for w in words], dtype=np.int32)
+        ids = np.array([known(w, 0) for w in words] if not self.has_long else [known(_short(w), 0) for w in words], dtype=np.int32)
         edges = np.flatnonzero(np.diff(np.concatenate(([0], ids != 0, [0]))))
         for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if end - start >= self.shortest:
-                self._stream(ids[start:end].tolist(), start, hit, found)
+                self._stream(ids[start:end].tolist(), start, hit, states)
+        found = {self.ids[o] for s in states for o in self.owners[self.owned[s] : self.owned[s + 1]]}
         return np.cumsum(hit)[:-1] > 0, found
 
-    def _stream(self, ids: list[int], offset: int, hit: np.ndarray, found: set[int | None]) -> None:
-        state, size, window = 0, 0, self.window
+    def _stream(self, ids: list[int], offset: int, hit: np.ndarray, states: set[int]) -> None:
+        first, words, targets, link, length, root = self.first, self.words, self.targets, self.link, self.length, self.root
+        anchor, up_of, window = self.anchor, self.up, self.window
+        state = size = 0
         for at, word in enumerate(ids, offset + 1):
-            to = self.next[state].get(word)
-            while to is None and state:
-                state = self.link[state]
-                size = self.length[state]
-                to = self.next[state].get(word)
-            if to is None:
-                continue
-            state, size = to, size + 1
+            while state:
+                low, high = first[state], first[state + 1]
+                if high - low > 1:
+                    low = bisect_left(words, word, low, high)
+                if low < high and words[low] == word:
+                    break
+                state = link[state]
+                size = length[state]
+            state, size = (targets[low], size + 1) if state else (root[word], 1)
             if size >= window:
                 hit[at - size] += 1
                 hit[at] -= 1
-                found |= self.items[self.anchor[state]]
-            up = self.short_up[state]
+                states.add(anchor[state])
+            up = up_of[state]
             while up:
-                for length, owners in self.shorts[up]:
-                    if length <= size:
-                        hit[at - length] += 1
-                        hit[at] -= 1
-                        found |= owners
-                up = self.short_up[self.link[up]]
+                if length[up] <= size:
+                    hit[at - length[up]] += 1
+                    hit[at] -= 1
+                    states.add(up)
+                up = up_of[link[up]]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM).split() if text else []
 
 
-def digest(found: set[int | None]) -> str:
-    return hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest()
+def _stretches(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, words, n): the items that have words, in stretches of bounded length that overlap by `window` - 1 words."""
+    rows = benchmark.select(F.col("item_id").cast("string"), "text")
 
+    def make():
+        def work(batch: pa.RecordBatch):
+            found = []
+            for item, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
+                words = words_of(text)
+                for at in range(0, max(len(words) - window + 1, min(len(words), 1)), STRETCH):
+                    part = list(map(_short, words[at : at + STRETCH + window - 1]))
+                    found.append((item, b" ".join(part), len(part)))
+            columns = list(zip(*found)) or [()] * 3
+            return {n: pa.array(c, k) for n, c, k in zip(("item_id", "words", "n"), columns, (pa.string(), pa.binary(), pa.int64()))}
 
-def fits(benchmark: DataFrame) -> bool:
-    return (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= MAX_ITEM_BYTES
+        return work
 
+    return map_columns(rows, "item_id string, words binary, n long", make)
 
-def build(benchmark: DataFrame, window: int) -> Automaton:
-    rows = benchmark.select("item_id", F.col("text").cast("binary")).collect()
-    return Automaton([(r[0], words_of(r[1] and bytes(r[1]))) for r in rows], window)
 
+def automata(benchmark: DataFrame, window: int = 8) -> tuple[DataFrame, int]:
+    """(part, model): the automata, pickled, one for each of so many parts of the items; and how many parts there are."""
+    rows = durable(_stretches(benchmark, window).distinct())
+    parts = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // PART_WORDS))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)).cast("int"))
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part").select("part", "item_id", "words")
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    if not fits(benchmark):
-        return scan_join(docs, benchmark, window, min_items)
-    model = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str | None, list[bytes]]] = []
+        now = None
+        for batch in batches:
+            for part, item, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and part != now:
+                    yield _model(now, held, window)
+                    held = []
+                now = part
+                held.append((item, words.split(b" ")))
+        if held:
+            yield _model(now, held, window)
 
-    def make():
-        automaton = model.value
+    return durable(dealt.mapInArrow(run, "part int, model binary")), parts
+
+
+def _model(part: int, items: list[tuple[str | None, list[bytes]]], window: int) -> pa.RecordBatch:
+    model = pickle.dumps(Automaton(items, window), protocol=5)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([model], pa.binary())], names=["part", "model"])
+
+
+def _broadcast(docs: DataFrame, models: DataFrame, part: int) -> Broadcast:
+    """One automaton for all executors; a part without items has an empty one."""
+    row = models.where(F.col("part") == part).select("model").first()
+    return docs.sparkSession.sparkContext.broadcast(pickle.loads(row[0]) if row else Automaton([]))
 
+
+def _hits(rows: DataFrame, model: Broadcast) -> DataFrame:
+    """(row, doc_id, n_words, n_hit, hits, found) of the rows (row, doc_id, text): starts and ends of runs of hit words, and the items' ids."""
+
+    def make():
         def work(batch: pa.RecordBatch):
-            rows = []
-            for text in raw(batch.column(1)):
+            sizes, hits, items, n_hit = [], [], [], []
+            for text in raw(batch.column(2)):
                 words = words_of(text)
-                hit, found = automaton.matches(words)
+                hit, found = model.value.matches(words)
                 found.discard(None)
-                rows.append((len(words), int(hit.sum()), len(found), digest(found), len(found) >= min_items))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-            return {"doc_id": batch.column(0)} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)}
+                sizes.append(len(words))
+                hits.append(np.flatnonzero(np.diff(np.concatenate(([0], hit, [0])))).astype(np.int32))
+                n_hit.append(int(hit.sum()))
+                items.append(sorted(found))
+            lists = pa.array(hits, pa.list_(pa.int32()))
+            counts = {"n_words": pa.array(sizes, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())}
+            return {"row": batch.column(0), "doc_id": batch.column(1), "hits": lists, "found": pa.array(items, pa.list_(pa.string()))} | counts
 
         return work
 
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), schema, make)
+    return map_columns(rows.select("row", "doc_id", "text"), "row long, doc_id long, n_words long, n_hit long, hits array<int>, found array<string>", make)
 
 
-def scan_join(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
-    """`scan` for test items of any size: windows meet in a join on their text, nothing is broadcast by hand.
+def _passes(rows: DataFrame, models: DataFrame, parts: int) -> DataFrame:
+    """`_hits` of all automata, each in a pass of its own; a row's runs of all of them come one behind the other."""
+    found = None
+    for part in range(parts):
+        more = durable(_hits(rows, _broadcast(rows, models, part)))
+        found = more if found is None else found.unionByName(more)
+    lists = [F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")]
+    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
 
-    The automaton's work is done by exploded windows of the documents, one set for each length that items
-    have (the window, and the lengths of items shorter than it).
-    """
-    rows = durable(docs.select("doc_id", _words().alias("ws"), F.expr("uuid()").alias("row")))
-    n_items = F.coalesce(F.size("found"), F.lit(0)).cast("long")
-    return rows.join(_joined(rows, benchmark, window), "row", "left").select(
-        "doc_id",
-        F.size("ws").cast("long").alias("n_words"),
-        F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hit"),
-        n_items.alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"),
-        (n_items >= min_items).alias("contaminated"),
-    )
-
-
-def _words() -> Column:
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)), F.array().cast("array<string>"))
-
-
-def _joined(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """(row, hits, found) of the rows (row, ws) that hold a window: places of the words hit, from 1, and the items' ids as text."""
-
-    def windows(size: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size("ws") - size + 1)
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("ws", i, size), " ").alias("w")))
-
-    items = benchmark.select("item_id", _words().alias("ws")).where(F.size("ws") > 0)
-    items = items.withColumn("m", F.least(F.size("ws"), F.lit(window)))
-    grams = items.select("item_id", "m", F.explode(windows(F.col("m"))).alias("x")).select("item_id", "m", "x.w").distinct()
-    lengths = F.array(*[F.lit(m) for m in range(1, window + 1)])
-    cut = rows.select("row", "ws", F.explode(lengths).alias("m")).where(F.size("ws") >= F.col("m"))
-    seen = cut.select("row", "m", F.explode(windows(F.col("m"))).alias("x")).select("row", "m", "x.at", "x.w")
-    met = seen.join(grams, ["m", "w"])
-    places = met.select("row", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("p")).distinct()
-    hits = places.groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("hits"))
-    owners = met.where("item_id IS NOT NULL").groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("found"))
-    return hits.join(owners, "row", "left")
+
+def _marked(n_words: int, runs: list[int]) -> np.ndarray:
+    """Which words are hit."""
+    hit = np.zeros(n_words + 1, dtype=np.int32)
+    np.add.at(hit, np.array(runs[::2], dtype=np.int64), 1)
+    np.add.at(hit, np.array(runs[1::2], dtype=np.int64), -1)
+    return np.cumsum(hit)[:-1] > 0
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    models, parts = automata(benchmark, window)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if parts == 1:
+        found = _hits(rows.withColumn("row", F.lit(0).cast("long")), _broadcast(docs, models, 0))
+    else:
+        narrow, row = numbered(rows)
+        found = _counted(_passes(narrow.withColumnRenamed(row, "row"), models, parts))
+    n_items = F.size("found").cast("long")
+    items = F.sha2(F.array_join(F.array_sort("found"), ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), items, (n_items >= min_items).alias("contaminated"))
+
+
+def _counted(hits: DataFrame) -> DataFrame:
+    """The rows (doc_id, n_words, hits, found) with n_hit, the number of words in any of the runs, which may overlap."""
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            n_hit = [int(_marked(n, runs).sum()) for n, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            return {"doc_id": batch.column(0), "n_words": batch.column(1), "n_hit": pa.array(n_hit, pa.int64()), "found": batch.column(3)}
+
+        return work
+
+    return map_columns(hits.select("doc_id", "n_words", "hits", "found"), "doc_id long, n_words long, n_hit long, found array<string>", make)
 
 
 def cut_spans(text: bytes, hit: np.ndarray) -> str:
@@ -239,50 +318,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
     hit, is dropped as a whole; of any other the hit spans are cut out of the text. Documents without a hit
     pass untouched, null texts too.
     """
-    if not fits(benchmark):
-        return _decontaminate_join(docs, benchmark, window, min_items, max_coverage)
-    model = docs.sparkSession.sparkContext.broadcast(build(benchmark, window))
+    models, parts = automata(benchmark, window)
+    if parts > 1:
+        return _decontaminate_in_passes(docs, models, parts, min_items, max_coverage)
+    model = _broadcast(docs, models, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            texts, keep = column.to_pylist(), []
-            for row, text in enumerate(raw(column)):
-                words = words_of(text)
-                hit, found = automaton.matches(words)
-                found.discard(None)
-                keep.append(_stays(hit, len(found), min_items, max_coverage))
-                if keep[-1] and hit.any():
-                    texts[row] = cut_spans(text, hit)
-            yield replace_text(batch, texts, keep)
+            texts = raw(batch.column(batch.schema.get_field_index("text")))
+            yield _cleaned(batch, [model.value.matches(words_of(text)) for text in texts], min_items, max_coverage)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _stays(hit: np.ndarray, n_items: int, min_items: int, max_coverage: float) -> bool:
-    return n_items < min_items and int(hit.sum()) <= max_coverage * len(hit)
+def _cleaned(batch: pa.RecordBatch, found: list[tuple[np.ndarray, set]], min_items: int, max_coverage: float) -> pa.RecordBatch:
+    """The batch without the rows to drop, and with the hit words of the others cut out."""
+    column = batch.column(batch.schema.get_field_index("text"))
+    texts, keep = column.to_pylist(), []
+    for row, (hit, items) in enumerate(found):
+        keep.append(len(items - {None}) < min_items and int(hit.sum()) <= max_coverage * len(hit))
+        if keep[-1] and hit.any():
+            texts[row] = cut_spans(texts[row].encode(), hit)
+    return replace_text(batch, texts, keep)
 
 
-def _decontaminate_join(docs: DataFrame, benchmark: DataFrame, window: int, min_items: int, max_coverage: float) -> DataFrame:
-    """`decontaminate` for test items of any size, by the join of `scan_join`."""
-    row, hits, n = (fresh(docs, name) for name in ("row", "hits", "n"))
-    rows = durable(docs.withColumn(row, F.expr("uuid()")))
-    found = _joined(rows.select(F.col(row).alias("row"), _words().alias("ws")), benchmark, window)
-    found = found.select(F.col("row").alias(row), F.col("hits").alias(hits), F.coalesce(F.size("found"), F.lit(0)).alias(n))
-    wide = rows.join(found, row, "left").select(*[f"`{c}`" for c in docs.columns], hits, n)
+def _decontaminate_in_passes(docs: DataFrame, models: DataFrame, parts: int, min_items: int, max_coverage: float) -> DataFrame:
+    """`decontaminate` where the items need several automata: what these find meets the documents by row number."""
+    rows, row = numbered(docs)
+    found = _passes(rows.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), "text"), models, parts)
+    runs, items = fresh(rows, "runs"), fresh(rows, "items")
+    found = found.where(F.size("hits") > 0).select(F.col("row").alias(row), F.col("hits").alias(runs), F.col("found").alias(items))
+    columns = docs.columns
+    wide = rows.join(found, row, "left").select(*[f"`{c}`" for c in columns], runs, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            texts, keep = column.to_pylist(), []
-            for i, (text, places, items) in enumerate(zip(raw(column), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())):
-                hit = np.zeros(len(words_of(text)), dtype=bool)
-                hit[np.array(places or [], dtype=np.int64) - 1] = True
-                keep.append(_stays(hit, items or 0, min_items, max_coverage))
-                if keep[-1] and hit.any():
-                    texts[i] = cut_spans(text, hit)
-            yield replace_text(batch, texts, keep).select(docs_columns)
-
-    docs_columns = docs.columns
+            texts, told = raw(batch.column(batch.schema.get_field_index("text"))), [batch.column(batch.num_columns - i).to_pylist() for i in (2, 1)]
+            hits = [(_marked(len(words_of(t)), r or []), set(i or ())) for t, r, i in zip(texts, *told)]
+            yield _cleaned(batch.select(columns), hits, min_items, max_coverage)
+
     return wide.mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, fresh, map_columns, raw
+from .common import durable, map_columns, numbered, raw
 
 SEED, SHINGLE, MAX_BITS, MAX_LIST = 42, 4, 4, 4096
 #: Similar texts: words in a shingle, minima in a band, bands; row numbers that are broadcast at most.
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
 
 def deduplicate(docs: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     """docs, all columns kept, with one row of each component of links: its smallest doc_id, then its first row."""
-    docs, row = _numbered(docs)
+    docs, row = numbered(docs)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row"))
     rows = durable(fingerprints(narrow, "row"))
     roots = rows.join(_rooted(rows, max_list), "fp").select("row", "doc_id", "root")
@@ -296,12 +296,6 @@ def _sketch(text: bytes | None) -> tuple[bytes, list[int]]:
 FACTORS, TERMS = np.random.default_rng(SEED).integers(1 << 64, size=(2, BAND * BANDS), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, written so that it stays the same, and the number's column."""
-    row = fresh(docs, "row")
-    return durable(docs.withColumn(row, F.monotonically_increasing_id())), row
-
-
 def _of_rows(docs: DataFrame, row: str, rows: DataFrame, how: str) -> DataFrame:
     """docs semi- or anti-joined to row numbers (column row), without a shuffle of the texts if these are few."""
     few = rows.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
@@ -352,7 +346,7 @@ def _one_each(docs: DataFrame, row: str, roots: DataFrame) -> DataFrame:
 
 def deduplicate_similar(docs: DataFrame) -> DataFrame:
     """docs, all columns kept, with one row of each component of similar texts: its smallest doc_id, then its first row."""
-    docs, row = _numbered(docs)
+    docs, row = numbered(docs)
 
     def make():
         def work(batch: pa.RecordBatch):

@@ -4,7 +4,9 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -526,20 +528,46 @@ def test_automaton_against_brute_force(spark, leaks):
     wanted = slow_scan(docs, items)
     assert any(r[5] for r in wanted) and any(r[2] for r in wanted)
     assert sorted(map(tuple, decontaminate.scan(d, b).collect())) == wanted
-    assert sorted(map(tuple, decontaminate.scan_join(d, b).collect())) == wanted
     assert sorted(map(tuple, decontaminate.scan(d, b.where("false")).collect())) == slow_scan(docs, [])
 
 
-def test_items_beyond_the_bound_are_joined(spark, leaks, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 10)
+def test_items_in_several_automata(spark, leaks, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 60)
+    monkeypatch.setattr(decontaminate, "STRETCH", 5)
     docs, items = leaks
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.automata(b)[1] > 3
     assert sorted(map(tuple, decontaminate.scan(d, b).collect())) == slow_scan(docs, items)
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 1])
-def test_spans_are_cut_out(spark, words, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", bound)
+def test_items_that_are_all_null_or_long_words(spark, words):
+    long = "x" * 3000
+    docs = [(1, f"a {long} b c d e f g h"), (2, f"a {long}y b c d e f g h"), (None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = [(1, f"{long} b c d e f g"), (2, long)]
+    b = spark.createDataFrame([*items, (3, None)], "item_id long, text string")
+    order = lambda rows: sorted(rows, key=str)
+    assert order(map(tuple, decontaminate.scan(d, b).collect())) == order(slow_scan_of(docs, items))
+    assert order(map(tuple, decontaminate.scan(d, b.where("item_id = 3")).collect())) == order(slow_scan_of(docs, []))
+
+
+def slow_scan_of(docs, items):
+    return [r for doc in docs for r in slow_scan([doc], items)]
+
+
+def test_memory_of_the_automaton(words):
+    rng = random.Random(15)
+    for items in [[(i, [f"w{rng.randrange(2000)}".encode() for _ in range(200)]) for i in range(100)], [(0, [b"a"] * 10_000)], [(i, [f"{i}v{k}".encode() for k in range(50)]) for i in range(200)]]:
+        model, n = decontaminate.Automaton(items), sum(len(ws) for _, ws in items)
+        flat = sum(len(x) * x.itemsize for x in vars(model).values() if isinstance(x, array))
+        vocabulary = sys.getsizeof(model.vocabulary) + sum(map(sys.getsizeof, model.vocabulary)) + 32 * len(model.vocabulary)
+        assert flat + vocabulary <= decontaminate.BYTES_PER_WORD * n
+
+
+@pytest.mark.parametrize("part", [1 << 20, 8])
+def test_spans_are_cut_out(spark, words, monkeypatch, part):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part)
+    monkeypatch.setattr(decontaminate, "STRETCH", 4)
     item = " ".join(words[:20])
     docs = [(1, f"Clean start, {' '.join(words[100:160])}. {item}! And the end."), (2, item), (3, "nothing here"), (4, None)]
     out = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
