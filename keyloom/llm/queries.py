@@ -61,7 +61,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_pii(table(spark, sf_dir, "documents"))
+    return surrogates.replace_pii(table(spark, sf_dir, "documents"), surrogates.session_key(spark))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,20 @@ Kinds: email, phone, card, ssn, iban, ipv4, aws_key, secret (values assigned to
 and person names (behind an honorific, or a known given name before a known family name; further mentions
 of these names in the same text follow).
 
-Every kind is mapped by a keyed permutation without fixed points of all values of its format: x goes to P^-1(P(x) + 1),
-P being a Feistel network, walked along its cycle while it leaves the format. So, but for collisions, one entity has one surrogate in the whole
-corpus, however it is written (coreference), two never share one (distinctness), and none keeps its value, with no
-table of the corpus. Check digits (Luhn, ISO 7064) are made anew, letter case and separators stay. Known given names
-go to known ones of their gender and script, known family names to known ones of their script, other names to names of
-the same pattern of vowels and consonants that are not known ones. Collision check: should a surrogate equal an original
-of the same kind in the same text, the step along the permutation is taken from the second keyed one, for all of the text, up to
-the eighth. If these leave a name colliding (a text may hold most of a list), the text's names get unlisted ones, longer by two
-letters at each further attempt and at last longer than any of its names. In a text with a later attempt,
-coreference and distinctness hold within it, not towards other texts.
+Every kind but names is mapped by one keyed permutation without fixed points of all values of its format: x goes to
+P^-1(P(x) + 1), P being a Feistel network, walked along its cycle while it leaves the format. Check digits (Luhn, ISO 7064) are
+made anew, letter case and separators stay. Known given names go one to one to others of their gender and script, known family
+names to others of their script, all of these from lists that share no name with the known ones; every other name goes
+to one of the same pattern of vowels and consonants with an ending that no listed name has. So the mapping is one to one in
+each kind: in the whole corpus one entity has one surrogate, however it is written (coreference), two never share one
+(distinctness), and none keeps its value, with no table of the corpus and no exceptions within a text. `collisions`
+checks this over a corpus. A surrogate may by chance be spelled like another entity's original (for a card of 16 digits
+once in 10^15); that one has a surrogate of its own, so they stay distinct.
+
+Without the key no surrogate can be traced back. It is an argument; the queries take it from the session's setting
+`spark.keyloom.surrogates.key`, or make a random one for the application.
+
+What is no entity: digits that fail the Luhn test or begin as no card does, four numbers behind a word for a version.
 
 Defined results: a null text stays null, an empty one empty, with no entities. Where candidates overlap, the one that
 starts first counts, then the kind listed first. Repeated rows each get a row. An empty table gives an empty result.
@@ -24,36 +28,54 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_columns, replace_text
 
-KEY = b"keyloom surrogate key; give your own in production"
+SETTING = "spark.keyloom.surrogates.key"
 ROUNDS = 8
-#: Permutations for a text before its names leave the lists.
-ATTEMPTS = 8
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
-#: Letters of other scripts that are permuted among their like; the letter's case is kept.
+DIGITS = "0123456789"
+#: Letters that are permuted among their like; the letter's case is kept.
 ALPHABETS = [
+    LOWER,
+    DIGITS,
     "àáâãäåæçèéêëìíîïñòóôõöøùúûüýœ",
+    "āăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňŋōŏőŕřśŝşšţťŧũūŭůűųŵŷźżž",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя",
     "αβγδεζηθικλμνξοπρστυφχψω",
+    *("".join(map(chr, range(a, b + 1))) for a, b in [(0x5D0, 0x5EA), (0x641, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]),
 ]
-FEMALE = "Alice Anna Barbara Carla Clara Diana Elena Elisabeth Emma Eva Fiona Gabriela Hannah Helena Isabel Jane Julia Karen Laura Linda Lucia Maria Marie Martha Mary Nina Olivia Patricia Rosa Sarah Sofia Susan Teresa Ursula Victoria Zoe".split()
-MALE = "Adam Albert Alexander Andrew Anton Antonio Bernard Carlos Charles Daniel David Diego Edward Felix Francis Frank George Hans Henry Hugo Jacob James Jean John Jorge Joseph Juan Karl Louis Luis Martin Michael Miguel Oliver Otto Paul Peter Pierre Robert Thomas Walter William".split()
-FEMALE_CYRILLIC = "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split()
-MALE_CYRILLIC = "Александр Алексей Андрей Борис Виктор Дмитрий Иван Николай Павел Сергей".split()
-FAMILY = "Anderson Bauer Becker Brown Clark Davis Dubois Durand Fernandez Fischer Garcia Gomez Hoffmann Jackson Johnson Jones Klein Koch Lambert Laurent Lewis Lopez Martinez Meyer Miller Moore Moreau Morgan Muller Navarro Neumann Parker Perez Petit Richter Robinson Rodriguez Roux Sanchez Schmidt Schneider Schulz Simon Smith Taylor Torres Vega Wagner Weber White Williams Wilson Wolf Young Zimmermann".split()
-FAMILY_CYRILLIC = "Васильев Волков Иванов Козлов Кузнецов Лебедев Морозов Новиков Петров Попов Смирнов Соколов Фёдоров".split()
-NAME_LISTS = {"female": FEMALE, "male": MALE, "female-cyrillic": FEMALE_CYRILLIC, "male-cyrillic": MALE_CYRILLIC, "family": FAMILY, "family-cyrillic": FAMILY_CYRILLIC}
-LISTED = {name.lower(): (kind, at, names) for kind, names in NAME_LISTS.items() for at, name in enumerate(names)}
+ALPHABET_OF = {c: a for a in ALPHABETS for c in a}
+KNOWN_NAMES = {
+    "female": "Alice Anna Barbara Carla Clara Diana Elena Elisabeth Emma Eva Fiona Gabriela Hannah Helena Isabel Jane Julia Karen Laura Linda Lucia Maria Marie Martha Mary Nina Olivia Patricia Rosa Sarah Sofia Susan Teresa Ursula Victoria Zoe",
+    "male": "Adam Albert Alexander Andrew Anton Antonio Bernard Carlos Charles Daniel David Diego Edward Felix Francis Frank George Hans Henry Hugo Jacob James Jean John Jorge Joseph Juan Karl Louis Luis Martin Michael Miguel Oliver Otto Paul Peter Pierre Robert Thomas Walter William",
+    "female-cyrillic": "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия",
+    "male-cyrillic": "Александр Алексей Андрей Борис Виктор Дмитрий Иван Николай Павел Сергей",
+    "family": "Anderson Bauer Becker Brown Clark Davis Dubois Durand Fernandez Fischer Garcia Gomez Hoffmann Jackson Johnson Jones Klein Koch Lambert Laurent Lewis Lopez Martinez Meyer Miller Moore Moreau Morgan Muller Navarro Neumann Parker Perez Petit Richter Robinson Rodriguez Roux Sanchez Schmidt Schneider Schulz Simon Smith Taylor Torres Vega Wagner Weber White Williams Wilson Wolf Young Zimmermann",
+    "family-cyrillic": "Васильев Волков Иванов Козлов Кузнецов Лебедев Морозов Новиков Петров Попов Смирнов Соколов Фёдоров",
+}
+#: Names for the known ones of the same list: as many, and no known one among them.
+OTHER_NAMES = {
+    "female": "Adela Agatha Beatrix Bianca Camille Celeste Dorothea Edith Eleanor Flora Frieda Greta Ingrid Irene Jolanda Katja Leonie Louisa Mabel Margot Matilda Nadia Noemi Paula Philippa Regina Rosalind Ruth Silvia Stella Thea Valeria Vera Viola Wilma Yvonne",
+    "male": "Alan Alfred Arthur August Basil Benedict Bruno Claude Conrad Cyril Dominic Edgar Emil Eric Ernest Eugene Ferdinand Gilbert Gregor Gustav Harold Harvey Herbert Ignacio Ivo Jasper Julius Kurt Lambertus Leopold Lothar Magnus Marcel Norbert Oscar Ralph Raymond Roland Rupert Stanley Theodor Victor",
+    "female-cyrillic": "Алла Валентина Вера Галина Дарья Зоя Инна Лариса Маргарита Тамара",
+    "male-cyrillic": "Антон Вадим Василий Геннадий Егор Захар Кирилл Лев Максим Степан",
+    "family": "Abbott Albrecht Arnaud Barker Baxter Benitez Blanchard Brandt Bright Calder Carver Castillo Chandler Dalton Delgado Dietrich Drake Ellwood Engel Fabre Fletcher Fontaine Frost Gallagher Gruber Haas Hartwig Herrera Holland Ibarra Jansen Keller Kramer Lacroix Lindner Marchand Mercer Mendoza Nolan Norris Ochoa Pascal Pfeiffer Quinn Ramos Renard Sauer Sherman Sutter Thornton Ulrich Vargas Voss Whitaker Winkler",
+    "family-cyrillic": "Алексеев Беляев Воробьёв Григорьев Данилов Егоров Жуков Зайцев Ковалёв Макаров Орлов Романов Титов",
+}
+KNOWN_NAMES, OTHER_NAMES = ({kind: names.split() for kind, names in lists.items()} for lists in (KNOWN_NAMES, OTHER_NAMES))
+LISTED = {name.lower(): (kind, at) for kind, names in KNOWN_NAMES.items() for at, name in enumerate(names)}
+#: Endings of the surrogates of all other names, by script: no name of the lists has them.
+ENDINGS = {LOWER: "wend", ALPHABETS[4]: "венд", ALPHABETS[5]: "βενδ"}
 
 WORD = r"[^\W\d_]"
 NAME = rf"(?:[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]{WORD}+(?:-[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]{WORD}+)?)"
@@ -61,17 +83,19 @@ TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora
 PATTERNS: list[tuple[str, str, re.Pattern[str], tuple[str, ...]]] = [
     # kind, what a text must hold (any of these characters; none: no such test), pattern with the value in group v, other needles
     ("email", "@", re.compile(r"(?P<v>[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"), ()),
-    ("secret", "=:", re.compile(r"(?i)\b(?:password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[^\s\"',;]{6,})"), ()),
+    ("secret", "=:", re.compile(r"(?i)\b(?:password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[^\s\"',;]+)"), ()),
     ("aws_key", "", re.compile(r"\b(?:AKIA|ASIA|akia|asia)(?P<v>[A-Z0-9]{16}|[a-z0-9]{16})\b"), ("AKIA", "ASIA", "akia", "asia")),
     ("iban", "0123456789", re.compile(r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"), ()),
     ("ipv4", "0123456789", re.compile(r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d|[^\W\d_])"), ()),
     ("phone", "0123456789", re.compile(r"(?<![\w.])(?P<v>(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w-])"), ()),
     ("ssn", "-", re.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])"), ()),
     ("card", "0123456789", re.compile(r"(?<![\w.])(?P<v>\d(?:[ -]?\d){12,18})(?!\w|\.\d)"), ()),
-    ("hex_token", "0123456789", re.compile(r"(?<!\w)(?P<v>(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?!\w)"), ()),
+    ("hex_token", "0123456789", re.compile(r"(?<!\w)(?P<v>(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?!\w)"), ()),
 ]
 TITLED = re.compile(rf"\b{TITLE}\.? (?P<v>{NAME}(?: {NAME})*)")
-KNOWN = re.compile(rf"\b(?P<v>(?:{'|'.join(n for k, names in NAME_LISTS.items() if not k.startswith('family') for n in names)}) (?:{'|'.join(FAMILY + FAMILY_CYRILLIC)}))\b")
+GIVEN = "|".join(n for kind, names in KNOWN_NAMES.items() if not kind.startswith("family") for n in names)
+KNOWN = re.compile(rf"\b(?P<v>(?:{GIVEN}) {NAME})(?!\w)")
+VERSION = re.compile(r"(?i)(?:\b(?:version|release|build|ver|rev|section|chapter|firmware)\.?|\bv\.?)[ :=]{0,2}$")
 
 
 class Permutation:
@@ -119,31 +143,37 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, character by character."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _kinds(text: str) -> list[str]:
     """The alphabet that each character is drawn from; '' for one that stays."""
-    out = []
-    for c in text.lower():
-        if c in LOWER and len(c) == 1:
-            out.append(LOWER)
-        elif c.isascii() and c.isdigit():
-            out.append("0123456789")
-        else:
-            out.append(next((a for a in ALPHABETS if c in a and len(c) == 1), ""))
-    return out
+    return [ALPHABET_OF.get(c, "") for c in _lower(text)]
+
+
+def _looks_like(kind: str, text: str, start: int, end: int) -> bool:
+    """What a pattern can't tell: whether digits can be a card's number, and four numbers an address."""
+    if kind == "card":
+        digits = re.sub(r"\D", "", text[start:end])
+        return digits[0] in "23456" and int(digits[-1]) == luhn(digits[:-1])
+    return kind != "ipv4" or not VERSION.search(text, max(0, start - 12), start)
 
 
 class Surrogates:
-    """Surrogates under one key; `attempt` selects another permutation where the first collides."""
+    """Surrogates under one key."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
+        if not key:
+            raise ValueError("surrogates need a key")
         self.permutation = Permutation(key)
-        self.memo: dict[tuple[str, str, int], str] = {}
+        self.memo: dict[tuple[str, str], str] = {}
 
     def mix(self, tweak: str, text: str, alphabets: list[str]) -> str:
         """text with its characters moved together through all strings of the same alphabets, case kept."""
-        lower = text.lower()
-        if len(lower) != len(text):
-            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        lower = _lower(text)
         x, n = 0, 1
         for c, a in zip(lower, alphabets):
             if a:
@@ -159,13 +189,12 @@ class Surrogates:
                 out.append(c)
         return "".join(reversed(out))
 
-    def of(self, kind: str, value: str, attempt: int = 0) -> str:
-        key = (kind, value, attempt)
+    def of(self, kind: str, value: str) -> str:
+        key = (kind, value)
         if key not in self.memo:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            tweak = kind if not attempt else f"{kind}#{attempt}"
-            self.memo[key] = getattr(self, f"_{kind}")(tweak, value)
+            self.memo[key] = getattr(self, f"_{kind}")(kind, value)
         return self.memo[key]
 
     def _email(self, tweak: str, value: str) -> str:
@@ -178,7 +207,7 @@ class Surrogates:
         return self.mix(tweak, value, _kinds(value))
 
     def _hex_token(self, tweak: str, value: str) -> str:
-        return self.mix("hex" + tweak.lstrip("hexsecrtokn_"), value, ["0123456789abcdef" if c.isascii() and c.isalnum() else "" for c in value])
+        return self.mix("hex", value, ["0123456789abcdef" if c.isascii() and c.isalnum() else "" for c in value])
 
     def _aws_key(self, tweak: str, value: str) -> str:
         return self.mix(tweak, value, ["0123456789" + LOWER] * len(value))
@@ -201,9 +230,9 @@ class Surrogates:
 
     def _card(self, tweak: str, value: str) -> str:
         digits = re.sub(r"\D", "", value)
-        off = (int(digits[-1]) - luhn(digits[:-1])) % 10
-        body = self.mix(tweak, digits[:-1], _kinds(digits[:-1]))
-        new = iter(body + str((luhn(body) + off) % 10))
+        # the first digit, which tells the kind of card, stays
+        body = digits[0] + self.mix(tweak + digits[0], digits[1:-1], _kinds(digits[1:-1]))
+        new = iter(body + str(luhn(body)))
         return "".join(next(new) if c.isdigit() else c for c in value)
 
     def _iban(self, tweak: str, value: str) -> str:
@@ -216,21 +245,16 @@ class Surrogates:
         return "".join(next(new) if c != " " else c for c in value)
 
     def _person(self, tweak: str, value: str) -> str:
-        longer = max(0, int(tweak.partition("#")[2] or 0) - ATTEMPTS + 1)
-        return " ".join(self.name(tweak, part, longer) for part in value.split(" "))
-
-    def name(self, tweak: str, part: str, longer: int = 0) -> str:
-        listed = None if longer else LISTED.get(part.lower())
-        if listed:
-            kind, at, names = listed
-            new = names[self.permutation.move(f"{tweak}|{kind}", at, len(names))]
-            return new.upper() if part.isupper() else new
-        part += (part[-2:] if part.isupper() else part[-2:].lower()) * longer
-        alphabets = [VOWELS if c in VOWELS else CONSONANTS if c in CONSONANTS else a for c, a in zip(part.lower(), _kinds(part))]
-        new = self.mix(tweak, part, alphabets)
-        while new.lower() in LISTED:
-            new = self.mix(tweak, new, alphabets)
-        return new
+        return " ".join(self.name(part) for part in value.split(" "))
+
+    def name(self, part: str) -> str:
+        if listed := LISTED.get(part.lower()):
+            kind, at = listed
+            new = OTHER_NAMES[kind][self.permutation.move(f"name|{kind}", at, len(OTHER_NAMES[kind]))]
+        else:
+            alphabets = [VOWELS if c in VOWELS else CONSONANTS if c in CONSONANTS else a for c, a in zip(_lower(part), _kinds(part))]
+            new = self.mix("name", part, alphabets) + ENDINGS.get(next(filter(None, _kinds(part)), LOWER), ENDINGS[LOWER])
+        return new.upper() if len(part) > 1 and part.isupper() else new
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
@@ -239,7 +263,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for rank, (kind, needs, pattern, needles) in enumerate(PATTERNS):
         if (needs and not any(c in text for c in needs)) or (needles and not any(n in text for n in needles)):
             continue
-        found += [(*m.span("v"), rank, kind) for m in pattern.finditer(text)]
+        found += [(*m.span("v"), rank, kind) for m in pattern.finditer(text) if _looks_like(kind, text, *m.span("v"))]
     names = [(*m.span("v"), 99, "person") for p in (TITLED, KNOWN) for m in p.finditer(text)]
     if names:
         parts = sorted({p for a, b, _, _ in names for p in text[a:b].split(" ")}, key=len, reverse=True)
@@ -262,14 +286,7 @@ def rewrite(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[int, int
     found = detect(text)
     if not found:
         return text, found
-    originals = {(kind, plain(kind, text[a:b])) for a, b, kind in found}
-    attempt = 0
-    while True:
-        new = [surrogates.of(kind, text[a:b], attempt) for a, b, kind in found]
-        colliding = {kind for n, (_, _, kind) in zip(new, found) if (kind, plain(kind, n)) in originals}
-        if not colliding or (attempt >= ATTEMPTS and "person" not in colliding):
-            break
-        attempt += 1
+    new = [surrogates.of(kind, text[a:b]) for a, b, kind in found]
     out, at = [], 0
     for (a, b, _), n in zip(found, new):
         out += [text[at:a], n]
@@ -282,7 +299,16 @@ def _worker(key: bytes) -> Callable[[str], tuple[str, list[tuple[int, int, str]]
     return lambda text: rewrite(text, surrogates)
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session sets, or else a random one, the same for all of the application."""
+    given = spark.conf.get(SETTING, None)
+    return given.encode() if given else _made.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+_made: dict[str, bytes] = {}
+
+
+def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
     """Per document: doc_id, text with surrogates, n_entities, and entities as (kind, n) in the kinds' order."""
 
     def make():
@@ -307,7 +333,7 @@ def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), schema, make)
 
 
-def scrub(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def scrub(docs: DataFrame, key: bytes) -> DataFrame:
     """docs, all rows and columns kept, with surrogates in its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,3 +343,21 @@ def scrub(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield replace_text(batch, [work_on(t)[0] if t else t for t in column.to_pylist()])
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def collisions(docs: DataFrame, key: bytes) -> DataFrame:
+    """(kind, surrogate): surrogates, as digests, that stand for two entities of a kind or more; there are none."""
+
+    def make():
+        surrogates = Surrogates(key)
+
+        def work(batch: pa.RecordBatch):
+            pairs = {(kind, plain(kind, text[a:b]), plain(kind, surrogates.of(kind, text[a:b]))) for text in filter(None, batch.column(0).to_pylist()) for a, b, kind in detect(text)}
+            columns = list(zip(*pairs)) or [()] * 3
+            return dict(zip(("kind", "original", "surrogate"), [pa.array(c, pa.string()) for c in columns]))
+
+        return work
+
+    pairs = map_columns(docs.select("text"), "kind string, original string, surrogate string", make)
+    pairs = pairs.select("kind", F.xxhash64("original").alias("original"), F.sha2("surrogate", 256).alias("surrogate"))
+    return pairs.groupBy("kind", "surrogate").agg(F.min("original").alias("low"), F.max("original").alias("high")).where("low <> high").select("kind", "surrogate")
