@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 MARK = "▁"
 FOLDER = "/opt/tokenizers"
@@ -13,6 +14,13 @@ FOLDER = "/opt/tokenizers"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+UNIGRAM = 1
+#: Scores are rounded to multiples of this, so that their sums are exact and equal paths tie in any order.
+GRAIN = 2.0**-20
+#: What is added to a rank in the law of Zipf and Mandelbrot.
+SHIFT = 2.7
+
+
 @dataclass(frozen=True)
 class Piece:
     text: str
@@ -57,6 +65,28 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+def scored_pieces(path: str) -> list[Piece]:
+    """All pieces with log-probabilities as scores.
+
+    A unigram model has them. Any other one has the ranks of its merges, whose sums mean nothing; tokenizers are not
+    trained here, so a rank becomes the log-probability that the law of Zipf and Mandelbrot gives it.
+    """
+    pieces = read_pieces(path)
+    if model_kind(path) == UNIGRAM:
+        return [replace(p, score=round(p.score / GRAIN) * GRAIN) for p in pieces]
+    last = sum(p.plain for p in pieces)
+    total = sum(1 / (rank + SHIFT) for rank in range(last + 1))
+    law = lambda score: -math.log((min(-score, last) + SHIFT) * total)
+    return [replace(p, score=round(law(p.score) / GRAIN) * GRAIN) if p.plain else p for p in pieces]
+
+
+def model_kind(path: str) -> int:
+    """The model's type, by the file's record of its training: 1 unigram, 2 byte-pair encoding."""
+    with open(path, "rb") as file:
+        trainer = next((value for field, value in _fields(file.read()) if field == 2), b"")
+    return dict(_fields(trainer)).get(3, UNIGRAM)
+
+
 def read_pieces(path: str) -> list[Piece]:
     """All pieces of the model; a piece's place is its id."""
     with open(path, "rb") as file:

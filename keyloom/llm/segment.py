@@ -1,16 +1,18 @@
 """SentencePiece encoding with the N best segmentations, and decoding.
 
 A text gets a leading blank, blanks become the word mark, and its segmentations are the paths through the lattice
-of all pieces that occur in it; a path's score is the sum of its pieces' scores. A forward Viterbi pass gives the best
+of all pieces that occur in it; a path's score is the sum of its pieces' log-probabilities (`pieces.scored_pieces`). A forward Viterbi pass gives the best
 score from the start to every position. These scores are exact heuristics for an A* search backward from the end,
 which so meets complete paths in the order of their scores and opens no other node than it must.
 
 The lattice falls apart wherever no piece can cross: before blanks and between letters and other characters.
 This is checked against the vocabulary; where it doesn't hold, coarser parts are taken, at worst the whole text. Parts
-are searched on their own and remembered; the N best of the text are the N smallest sums of losses over its parts,
+are searched on their own and remembered; new parts of a batch go through the forward pass together, as columns of arrays. The best
+segmentation is read off the forward pass, which is the path that the search would meet first, and only parts with alternatives are searched.
+The N best of the text are the N smallest sums of losses over its parts,
 where only the N - 1 parts with the smallest losses can take a share.
 
-Characters without a piece of their own are spelled in byte pieces at a score below that of any other piece, as
+Characters without a piece of their own are spelled in byte pieces, each such character at a score ten below that of any piece, as
 is a word mark in the text itself, so decoding restores every text exactly.
 
 Defined results: a null text has null ids, an empty one none; both have score 0 and no alternatives. Paths of
@@ -22,22 +24,25 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_columns
-from .pieces import BYTE, MARK, Piece, model_path, read_pieces
+from .pieces import BYTE, MARK, Piece, model_path, scored_pieces
 
-N_BEST, MEMO, LONG = 4, 200_000, 64
+N_BEST, MEMO, LONG = 4, 100_000, 64
 #: Stands for a word mark of the text itself; no text holds a lone surrogate.
 OWN_MARK = "\ud800"
-PARTS = (r" *\p{L}+| *[^\p{L} ]+| +", r" *[^ ]+| +", r"(?s).+")
+#: Runs of letters or of other characters, with the blanks before; the superscript two is the one other character that counts as a word's.
+PARTS = (r" *[^\W\d_²]+| *(?:[^\w ]|[\d_²])+| +", r" *[^ ]+| +", r"(?s).+")
+#: Parts of up to so many characters are searched together, in blocks of so many; bytes of texts whose parts are held at once.
+WIDE, BLOCK, STRIDE = 32, 4096, 1 << 20
 
 
 class Lattice:
@@ -49,12 +54,86 @@ class Lattice:
         #: Id and score of each piece, and no id for what only starts a piece.
         self.prefixes: dict[str, tuple[int, float]] = {text[:end]: (-1, 0.0) for text in self.pieces for end in range(1, len(text))} | self.pieces
         self.bytes = {int(p.text[3:5], 16): i for i, p in enumerate(pieces) if p.kind == BYTE}
-        usual = [p.score for p in pieces if p.plain and p.score > -1e8]
-        #: Score of a byte piece: ten less than that of any usual piece.
-        self.byte_score = min(usual, default=0.0) - 10
-        self.part = next(p for p in map(regex.compile, PARTS) if all(p.findall(text) == [text] for text in self.pieces))
+        #: Score of a character in byte pieces.
+        self.byte_score = min((score for _, _, score in plain), default=0.0) - 10
+        self.part = next(p for p in map(re.compile, PARTS) if all(p.findall(text) == [text] for text in self.pieces))
+        self._flatten()
         self.spelled = [p.text.replace(MARK, " ").encode() if p.plain else bytes([int(p.text[3:5], 16)]) if p.kind == BYTE else b"" for p in pieces]
 
+    def _flatten(self) -> None:
+        """The pieces as a trie in arrays: sorted keys of (state, class of the next character), and the states behind them."""
+        number = {text: i for i, text in enumerate(self.prefixes, 1)} | {"": 0}
+        letters = sorted({c for text in self.prefixes for c in text})
+        self.classes = np.zeros(0x110000, dtype=np.int32)
+        self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.bits = len(letters).bit_length()
+        keys = np.array([number[text[:-1]] << self.bits | int(self.classes[ord(text[-1])]) for text in self.prefixes], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(order + 1, 0).astype(np.int32)
+        self.piece = np.array([-1, *(i for i, _ in self.prefixes.values())], dtype=np.int32)
+        self.score = np.array([0.0, *(score for _, score in self.prefixes.values())])
+        self.alone = np.array([False, *(c in self.pieces for c in letters)])
+
+    def all_best(self, parts: list[str]) -> list[tuple[bytes, float, float]]:
+        """For each part what `best` gives, with the ids as bytes; parts of one length are done together."""
+        out: list[tuple[bytes, float, float] | None] = [None] * len(parts)
+        groups: dict[int, list[int]] = {}
+        for at, part in enumerate(parts):
+            groups.setdefault(len(part), []).append(at)
+        for length, members in groups.items():
+            if length > WIDE or len(members) < 8:
+                continue
+            for begin in range(0, len(members), BLOCK):
+                some = members[begin : begin + BLOCK]
+                points = np.frombuffer("".join([parts[at] for at in some]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                classes = self.classes[points].reshape(-1, length)
+                whole = self.alone[classes].all(axis=1)
+                for at, entry in zip(np.array(some)[whole].tolist(), self._together(classes[whole].T.copy())):
+                    out[at] = entry
+        for at, entry in enumerate(out):
+            if entry is None:
+                ids, score, loss = self.best(parts[at])
+                out[at] = (array("i", ids).tobytes(), score, loss)
+        return out
+
+    def _together(self, classes: np.ndarray) -> list[tuple[bytes, float, float]]:
+        """`best` for the columns of classes, of characters that all have pieces of their own."""
+        n, m = classes.shape
+        first, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        start, piece = np.zeros((n + 1, m), dtype=np.int32), np.zeros((n + 1, m), dtype=np.int32)
+        first[0] = 0.0
+        every = np.arange(m)
+        for at in range(n):
+            rows, state = every, np.zeros(m, dtype=np.int64)
+            for end in range(at + 1, n + 1):
+                key = state << self.bits | classes[end - 1, rows]
+                found = np.searchsorted(self.keys, key)
+                known = self.keys[found] == key
+                rows, state = rows[known], self.to[found[known]].astype(np.int64)
+                if not len(rows):
+                    break
+                has = self.piece[state] >= 0
+                r, s = rows[has], state[has]
+                score = self.score[s]
+                whole, other = first[at, r] + score, second[at, r] + score
+                f = first[end, r]
+                better = whole >= f
+                second[end, r] = np.where(better, np.maximum(f, other), np.maximum(second[end, r], whole))
+                b = r[better]
+                first[end, b] = whole[better]
+                start[end, b] = at
+                piece[end, b] = self.piece[s[better]]
+        ids, filled = np.zeros((m, n), dtype=np.int32), np.full(m, n)
+        rows, at = every, np.full(m, n)
+        while len(rows):
+            filled[rows] -= 1
+            ids[rows, filled[rows]] = piece[at, rows]
+            at = start[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        data = ids.tobytes()
+        begins = (np.arange(m) * n + filled) * 4
+        return [(data[a:b], x, y) for a, b, x, y in zip(begins.tolist(), range(4 * n, 4 * n * (m + 1), 4 * n), first[n].tolist(), (first[n] - second[n]).tolist())]
+
     def _ending(self, part: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """Edges (start, score, ids) into each position, and Viterbi scores."""
         n, prefixes = len(part), self.prefixes
@@ -74,9 +153,8 @@ class Lattice:
             if part[at] not in self.pieces:
                 c = MARK if part[at] == OWN_MARK else part[at]
                 ids = tuple(self.bytes[b] for b in c.encode())
-                score = self.byte_score * len(ids)
-                into[at + 1].append((at, score, ids))
-                best[at + 1] = max(best[at + 1], here + score)
+                into[at + 1].append((at, self.byte_score, ids))
+                best[at + 1] = max(best[at + 1], here + self.byte_score)
         return into, best
 
     def best(self, part: str) -> tuple[list[int], float, float]:
@@ -103,7 +181,7 @@ class Lattice:
                         second[end] = whole
             c = part[at]
             if c not in self.pieces:
-                score = self.byte_score * len((MARK if c == OWN_MARK else c).encode())
+                score = self.byte_score
                 if here + score >= first[at + 1]:
                     second[at + 1] = max(first[at + 1], next_ + score)
                     first[at + 1] = here + score
@@ -155,17 +233,20 @@ class Memo(dict):
         super().__init__()
         self.lattice, self.older = lattice, {}
 
-    def __missing__(self, part: str) -> tuple[bytes, float, float]:
-        entry = self.older.get(part)
-        if entry is None:
-            ids, score, loss = self.lattice.best(part)
-            entry = (array("i", ids).tobytes(), score, loss)
-        if len(part) <= LONG:
-            if len(self) >= MEMO:
-                self.older = dict(self)
-                self.clear()
-            self[part] = entry
-        return entry
+    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, float, float]]:
+        """Sees to the entries of all these parts; those too long to be remembered are returned."""
+        new = parts - self.keys()
+        old = new & self.older.keys()
+        found = {part: self.older[part] for part in old}
+        new = list(new - old)
+        found |= zip(new, self.lattice.all_best(new))
+        if len(self) + len(found) > MEMO and len(self):
+            # entries in use come along into the new generation
+            found |= {part: self[part] for part in parts & self.keys()}
+            self.older = dict(self)
+            self.clear()
+        self.update((part, entry) for part, entry in found.items() if len(part) <= LONG)
+        return {part: entry for part, entry in found.items() if len(part) > LONG}
 
 
 class Encoder:
@@ -173,17 +254,31 @@ class Encoder:
         self.lattice, self.n, self.memo = lattice, n_best, Memo(lattice)
         self.others: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[bytes, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
+        """For each text its best ids as bytes, their score, and the alternatives as (score, edits); an edit is (at, length, ids).
+
+        The parts of about `STRIDE` characters of texts are cut out and met together.
+        """
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= STRIDE):
+                size += len(texts[end])
+                end += 1
+            cut = [self.lattice.part.findall(" " + text.replace(MARK, OWN_MARK)) if text else [] for text in texts[at:end]]
+            long = self.memo.learn(set().union(*cut))
+            for parts in cut:
+                yield self._put_together(parts, long)
+            at = end
+
     def encode(self, text: str) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
-        """Best ids as bytes, their score, and the alternatives as (score, edits); an edit is (at, length, ids)."""
-        if not text:
-            return b"", 0.0, []
-        if MARK in text:
-            text = text.replace(MARK, OWN_MARK)
-        parts = self.lattice.part.findall(" " + text)
-        found = list(map(self.memo.__getitem__, parts))
-        score = sum([f[1] for f in found])
+        return next(self.encode_all([text]))
+
+    def _put_together(self, parts: list[str], long: dict[str, tuple[bytes, float, float]]):
+        found = [self.memo[p] if p in self.memo else long[p] for p in parts] if long else list(map(self.memo.__getitem__, parts))
         best = [f[0] for f in found]
-        return b"".join(best), score, self._alternatives(parts, found, best, score)
+        score = float(sum([f[1] for f in found]))
+        return b"".join(best), score, self._alternatives(parts, found, best, score) if parts else []
 
     def _alternatives(self, parts: list[str], found: list[tuple[bytes, float, float]], coded: list[bytes], score: float):
         more = self.n - 1
@@ -246,15 +341,15 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None) -> Da
     in the place of which pieces of the best one. restored tells that decoding gives back the text.
     """
     file = path or model_path()
-    shared = docs.sparkSession.sparkContext.broadcast(read_pieces(file))
+    shared = docs.sparkSession.sparkContext.broadcast(scored_pieces(file))
 
     def make():
         encoder = kept_encoder(file, n_best, lambda: shared.value)
 
         def work(batch: pa.RecordBatch):
             ids, scores, others, same = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                best, score, more = encoder.encode(text or "")
+            texts = batch.column(1).to_pylist()
+            for text, (best, score, more) in zip(texts, encoder.encode_all([t or "" for t in texts])):
                 ids.append(best)
                 scores.append(score)
                 others.append([{"score": s, "edits": [{"at": a, "length": n, "ids": i} for a, n, i in e]} for s, e in more])
@@ -280,7 +375,7 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None) -> Da
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of the rows (doc_id, ids); null ids give a null text."""
     file = path or model_path()
-    shared = encoded.sparkSession.sparkContext.broadcast(read_pieces(file))
+    shared = encoded.sparkSession.sparkContext.broadcast(scored_pieces(file))
 
     def make():
         encoder = kept_encoder(file, N_BEST, lambda: shared.value)

@@ -155,7 +155,7 @@ def test_chat_runs_no_python(spark, sf):
 
 @pytest.fixture(scope="module")
 def lattice():
-    return segment.Lattice(pieces.read_pieces(pieces.model_path()))
+    return segment.Lattice(pieces.scored_pieces(pieces.model_path()))
 
 
 def all_paths(lattice, s):
@@ -169,7 +169,7 @@ def all_paths(lattice, s):
         elif e == 1:
             c = pieces.MARK if s[0] == segment.OWN_MARK else s[0]
             ids = tuple(lattice.bytes[b] for b in c.encode())
-            out += [(lattice.byte_score * len(ids) + r, ids + t) for r, t in all_paths(lattice, s[1:])]
+            out += [(lattice.byte_score + r, ids + t) for r, t in all_paths(lattice, s[1:])]
     return out
 
 

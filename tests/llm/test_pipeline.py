@@ -35,7 +35,7 @@ def test_run_equals_brute_force(spark, sf, tables):
     kept = {i for i, r in scanned.items() if not r[5] and r[2] <= 0.5 * r[1]}
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(out) == kept and 0 < len(kept) <= len(single) < len(rows)
-    spelled = segment.Encoder(segment.Lattice(pieces.read_pieces(pieces.model_path())))
+    spelled = segment.Encoder(segment.Lattice(pieces.scored_pieces(pieces.model_path())))
     scrub = surrogates.Surrogates()
     for i in kept:
         text = single[i]
