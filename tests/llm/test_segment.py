@@ -73,7 +73,7 @@ def own_piece(path):
 def test_ranks_become_log_probabilities():
     scored = pieces.scored_pieces(pieces.model_path())
     plain = [p for p in scored if p.plain]
-    assert sum(2.718281828 ** p.score for p in plain) == pytest.approx(1, abs=0.05)
+    assert sum(2.718281828 ** p.score for p in plain) == pytest.approx(1, abs=0.1)
     encoder = segment.Encoder(segment.Lattice(scored))
     best = encoder.encode("International organizations have responded to the crisis.")[0]
     assert [scored[i].text for i in np.frombuffer(best, np.int32)] == "▁International ▁organizations ▁have ▁responded ▁to ▁the ▁crisis .".split()
