@@ -436,38 +436,6 @@ def test_base_counts(words):
         assert quality.measure(t and t.encode()) == slow_measure(t)
 
 
-def slow_kneser_ney(texts):
-    """Log2-probabilities by the textbook, with dictionaries."""
-    n = quality.ORDER
-    grams = Counter(g[i : i + n] for g in (tuple(t.encode().translate(quality.FOLD)) for t in texts) for i in range(len(g) - n + 1))
-    counts = {n: grams}
-    for k in range(n - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    probs = {}
-    for k in range(1, n + 1):
-        have = Counter(counts[k].values())
-        y = have[1] / (have[1] + 2 * have[2]) if have[1] and have[2] else 0.5
-        cut = {j: min(j, max(0.0, j - (j + 1) * y * have[j + 1] / have[j])) if have[j] and have[j + 1] else y for j in (1, 2, 3)}
-        total, spare = Counter(), Counter()
-        for g, c in counts[k].items():
-            total[g[:-1]] += c
-            spare[g[:-1]] += cut[min(c, 3)]
-        probs[k] = {g: (max(c - cut[min(c, 3)], 0) + spare[g[:-1]] * (probs[k - 1][g[1:]] if k > 1 else 1 / 32)) / total[g[:-1]] for g, c in counts[k].items()}
-    return probs[n]
-
-
-def test_kneser_ney(words):
-    rng = random.Random(9)
-    texts = [" ".join(rng.choices(words, k=60)) + "." for _ in range(10)]
-    codes = np.concatenate([quality.grams(t.encode()) for t in texts])
-    model = quality.kneser_ney(*np.unique(codes, return_counts=True))
-    slow = slow_kneser_ney(texts)
-    for t in texts:
-        symbols = tuple(t.encode().translate(quality.FOLD))
-        wanted = -np.mean([np.log2(slow[symbols[i : i + 4]]) for i in range(len(symbols) - 3)])
-        assert model.bits(t.encode()) == pytest.approx(wanted, abs=1e-4)
-
-
 def test_bands_reject_what_stands_out(spark, words):
     rng = random.Random(10)
     rows = [(i, " ".join(rng.choices(words, k=80)), "en") for i in range(150)]
