@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import argparse
+import random
 import sys
 from collections.abc import Sequence
 
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .functions.text import decode_base64
 from .operators.lookup import sample_keys
-from .operators.merge import SourceSet, last_wins
+from .operators.merge import last_wins
 from .operators.stats import benchmark, counts
 from .sources.delimited import format_lines, from_stdin, read_delimited
-from .sources.store import build, is_store, merge_stores, open_store
+from .sources.store import BLOCK_SIZE, build, is_store, merge_stores, open_store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--shards", type=int, default=64)
     p.add_argument("--compressor", default="lz4")
     p.add_argument("--hash", default="murmur3")
+    p.add_argument("--block-size", type=int, default=BLOCK_SIZE, help="bytes of entries that are compressed together")
     p.add_argument("--cache", action="store_true", help="keep entries in memory")
     return p
 
@@ -50,7 +52,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     o = parser().parse_args(argv)
     out = out or sys.stdout
     spark = spark or SparkSession.builder.appName("keyloom").getOrCreate()
-    options = {"shards": o.shards, "codec": o.compressor, "hash_name": o.hash}
+    options = {"shards": o.shards, "codec": o.compressor, "hash_name": o.hash, "block_size": o.block_size}
     try:
         if o.command in ("build", "merge"):
             *inputs, target = o.args
@@ -82,20 +84,22 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
             for row in format_lines(merged, o.delimiter, o.base64, o.command == "keys").toLocalIterator():
                 print(row[0], file=out)
         elif o.command == "validate":
+            total = [0, 0, 0]
             for store in stores:
                 told = store.manifest().agg(F.sum("entries"), F.sum("bytes")).first()
                 seen = counts(store.entries("skip")).first()
                 n, missing = seen["entries"] if seen else 0, (told[0] or 0) - (seen["entries"] if seen else 0)
                 print(f"{store.path}: {n} entries, {(told[1] or 0)} bytes, " + (f"{missing} entries missing" if missing else "nothing missing"), file=out)
+                total = [a + b for a, b in zip(total, (n, told[1] or 0, missing))]
+            if len(stores) > 1:
+                print(f"all {len(stores)}: {total[0]} entries, {total[1]} bytes, " + (f"{total[2]} entries missing" if total[2] else "nothing missing"), file=out)
         else:
-            keys = [r[0] for r in sample_keys(stores[0].entries(), 100).collect()]
-            held = SourceSet()
-            for store in stores:
-                held = held.add(store.path, store.entries())
-            turn = iter(range(1 << 62))
+            # each read asks a store at random for one of its own keys
+            keys = [(store, _plain(r[0])) for store in stores for r in sample_keys(store.entries(), 100).collect()]
+            chance = random.Random(1)
             readers = 1
             while readers <= 128 and keys:
-                found = benchmark(lambda: stores[-1].get(_plain(keys[next(turn) % len(keys)])), o.num_reads, readers)
+                found = benchmark(lambda: (lambda pair: pair[0].get(pair[1]))(chance.choice(keys)), o.num_reads, readers)
                 print(f"{readers} reader(s): {found['throughput']:.2f} reads/s; ms: " + ", ".join(f"{q:.1%} {v:.2f}" for q, v in found["latencies"]), file=out)
                 readers *= 2
         return 0

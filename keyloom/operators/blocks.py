@@ -5,10 +5,10 @@ from __future__ import annotations
 import gzip
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,7 +16,20 @@ from ..functions.hashing import hash_of, shard_of
 from ..functions.text import entry_bytes
 
 BLOCK_SIZE, MAX_HASHES = 4096, 255
-PACKERS = {"none": (bytes, bytes), "gzip": (lambda b: gzip.compress(b, mtime=0), gzip.decompress), "zlib": (zlib.compress, zlib.decompress)}
+
+
+def _sized(codec: str) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
+    """An Arrow codec; the size of what was compressed comes first, in four bytes."""
+    pack = lambda b: struct.pack(">I", len(b)) + pa.compress(b, codec, asbytes=True)
+    return pack, lambda b: pa.decompress(b[4:], struct.unpack(">I", b[:4])[0], codec, asbytes=True)
+
+
+PACKERS = {
+    "none": (bytes, bytes),
+    "gzip": (lambda b: gzip.compress(b, mtime=0), gzip.decompress),
+    "zlib": (zlib.compress, zlib.decompress),
+    **{codec: _sized(codec) for codec in ("lz4", "snappy", "zstd")},
+}
 
 
 def in_order(entries: DataFrame, shards: int, hash_name: str = "murmur3") -> DataFrame:
@@ -90,7 +103,7 @@ def decode_block(data: bytes) -> list[tuple[bytes, bytes]]:
 BLOCKS = "shard int, block long, n long, codec string, checksum long, payload binary"
 
 
-def encode_blocks(entries: DataFrame, shards: int = 4, block_size: int = BLOCK_SIZE, codec: str = "gzip", hash_name: str = "murmur3") -> DataFrame:
+def encode_blocks(entries: DataFrame, shards: int = 4, block_size: int = BLOCK_SIZE, codec: str = "lz4", hash_name: str = "murmur3") -> DataFrame:
     """Rows (shard, block, n, codec, checksum, payload); the checksum is of the compressed bytes."""
     if codec not in PACKERS:
         raise ValueError(f"unknown block codec {codec!r}; known: {', '.join(PACKERS)}")
@@ -146,6 +159,11 @@ def decode_blocks(blocks: DataFrame, on_corrupt: str = "raise") -> DataFrame:
     return checked.select("payload", "codec").mapInArrow(run, "key binary, value binary")
 
 
+def read_block(blocks: DataFrame, shard: int, block: int) -> DataFrame:
+    """(key, value) of one block; a bad checksum raises."""
+    return decode_blocks(blocks.where((F.col("shard") == shard) & (F.col("block") == block)))
+
+
 def validate(blocks: DataFrame) -> DataFrame:
     """One row: entries told by the blocks, entries in sound blocks, blocks, bad blocks, bytes, average bytes a block, missing entries."""
     checked = with_validity(blocks)
@@ -160,20 +178,84 @@ def validate(blocks: DataFrame) -> DataFrame:
     return found.withColumn("average_bytes", average).withColumn("missing", F.col("entries") - F.col("sound_entries"))
 
 
-def running_offsets(sized: DataFrame, by: str, order: list[str], size: str = "size") -> DataFrame:
-    """Rows with `offset`: what the rows before them in their group sum up to."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
-
-
-def hash_ordinals(hashed: DataFrame, by: str) -> DataFrame:
-    """Rows with `ordinal`: the place of their hash among the hashes of their group."""
-    return hashed.withColumn("ordinal", (F.dense_rank().over(Window.partitionBy(by).orderBy("h")) - 1).cast("long"))
+def running_offsets(sized: DataFrame, by: str, order: list[str], size: str = "size", cut: Column | None = None) -> DataFrame:
+    """Rows with `offset`: what the rows before them in their group sum up to.
 
+    `cut` is a column that never falls along the order, such as leading bits of the hash. Groups are then summed up in the pieces
+    that it makes of them, so no task takes a group whole; only the pieces' totals, one row each, meet in one.
+    """
+    piece = fresh(sized, "piece")
+    rows = sized.withColumn(piece, F.lit(0) if cut is None else cut)
+    inside = Window.partitionBy(by, piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(size).over(inside), F.lit(0)).cast("long")
+    if cut is None:
+        return rows.withColumn("offset", offset).drop(piece)
+    before = _before(rows.groupBy(by, piece).agg(F.sum(size).alias("total")), by, piece)
+    return rows.withColumn("offset", offset).join(before, [by, piece]).withColumn("offset", F.col("offset") + F.col("before")).drop(piece, "before")
+
+
+def _before(totals: DataFrame, by: str, piece: str) -> DataFrame:
+    """(by, piece, before): the totals of the pieces before."""
+    w = Window.partitionBy(by).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(by, piece, F.coalesce(F.sum("total").over(w), F.lit(0)).cast("long").alias("before"))
+
+
+def hash_ordinals(hashed: DataFrame, by: str, cut: Column | None = None) -> DataFrame:
+    """Rows with `ordinal`: the place of their hash among the hashes of their group; `cut` as in `running_offsets`."""
+    piece = fresh(hashed, "piece")
+    rows = hashed.withColumn(piece, F.lit(0) if cut is None else cut)
+    ordinal = (F.dense_rank().over(Window.partitionBy(by, piece).orderBy("h")) - 1).cast("long")
+    if cut is None:
+        return rows.withColumn("ordinal", ordinal).drop(piece)
+    before = _before(rows.select(by, piece, "h").distinct().groupBy(by, piece).agg(F.count("*").alias("total")), by, piece)
+    return rows.withColumn("ordinal", ordinal).join(before, [by, piece]).withColumn("ordinal", F.col("ordinal") + F.col("before")).drop(piece, "before")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+def order_breaks(stored: DataFrame, *by: str) -> DataFrame:
+    """Per group of files (columns `by` of the scan) entries, and how many of them are less by (h, key) than the one stored before them in their file.
+
+    `stored` reads files and has h and key. Rows stream by in the order in which they are stored; each piece of a
+    file that a task reads gives one row, and these meet where pieces do.
+    """
+    rows = stored.select(*by, F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"), "h", "key")
+    key = rows.schema["key"].dataType.simpleString()
+    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in by)
+    n = len(by)
 
-def order_breaks(hashed: DataFrame, by: str) -> DataFrame:
-    """Per group, how many neighbours in (h, key) order aren't in ascending order: 0 everywhere if sorted."""
-    w = Window.partitionBy(by).orderBy("h", "key")
-    last_h, last_key = F.lag("h").over(w), F.lag("key").over(w)
-    bad = (last_h > F.col("h")) | ((last_h == F.col("h")) & (last_key > F.col("key")))
-    return hashed.withColumn("bad", F.coalesce(bad, F.lit(False))).groupBy(by).agg(F.count("*").alias("entries"), F.count_if("bad").alias("breaks"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                path, at, this = row[n], row[n + 1], row[n + 2 :]
+                if now is not None and (path != now[n] or at != now[n + 1] + now[n + 2]):
+                    yield _piece(now, batch.schema)
+                    now = None
+                if now is None:
+                    now = [*row[: n + 2], 0, 0, *this, *this]
+                now[n + 3] += this < tuple(now[-2:])
+                now[n + 2] += 1
+                now[-2:] = this
+            kind = batch.schema
+        if now is not None:
+            yield _piece(now, kind)
+
+    names = [*by, "path", "at", "entries", "breaks", "first_h", "first_key", "last_h", "last_key"]
+
+    def _piece(row: list, kind: pa.Schema) -> pa.RecordBatch:
+        types = [*(kind.field(i).type for i in range(n)), pa.string(), *[pa.int64()] * 3, *[pa.int64(), kind.field(n + 3).type] * 2]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
+
+    schema = f"{kinds}{', ' if by else ''}path string, at long, entries long, breaks long, first_h long, first_key {key}, last_h long, last_key {key}"
+    pieces = rows.mapInArrow(run, schema)
+    w = Window.partitionBy("path").orderBy("at")
+    last_h, last_key = F.lag("last_h").over(w), F.lag("last_key").over(w)
+    bad = F.coalesce((last_h > F.col("first_h")) | ((last_h == F.col("first_h")) & (last_key > F.col("first_key"))), F.lit(False))
+    return pieces.withColumn("bad", bad.cast("long")).groupBy(*by).agg(F.sum("entries").alias("entries"), F.sum(F.col("breaks") + F.col("bad")).alias("breaks"))

@@ -22,18 +22,18 @@ def multi_get(entries: DataFrame, keys: DataFrame, how: str = "left") -> DataFra
 
     left: every asked key, with null for a missing one; inner: only those found; semi: the found keys;
     anti: the missing ones. Keys asked twice are answered twice. Few keys are broadcast, after a count that stops at the
-    bound; more of them are shuffled. Missing keys need all entries, so `left` and `anti` broadcast nothing by hand.
+    bound, and so cut the entries down before what is found meets the keys again; more of them are shuffled.
     """
     if how not in WAYS:
         raise ValueError(f"how must be one of {', '.join(sorted(WAYS))}")
-    asked = keys.select("key")
-    if how in ("semi", "anti"):
-        return asked.join(entries.select("key"), "key", f"left_{how}")
-    if how == "left":
-        return asked.join(entries.select("key", "value"), "key", "left")
+    asked, columns = keys.select("key"), ["key"] if how in ("semi", "anti") else ["key", "value"]
+    found = entries.select(*columns)
     if asked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        asked = F.broadcast(asked)
-    return entries.select("key", "value").join(asked, "key")
+        if how == "inner":
+            return found.join(F.broadcast(asked), "key")
+        # no more rows than keys
+        found = F.broadcast(found.join(F.broadcast(asked.distinct()), "key", "left_semi"))
+    return asked.join(found, "key", how if how in ("left", "inner") else f"left_{how}").select(*columns)
 
 
 def sample_keys(entries: DataFrame, n: int, hash_name: str = "md5_32") -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.hashing import hash_of
+from ..session import durable
+
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": lambda v: F.sum(v.cast("decimal(38,0)")).cast("string"),
     "min": F.min,
@@ -70,7 +74,7 @@ def fold(entries: DataFrame, f: str | Callable[[Column, Column], Column], associ
         folded = _gather(runs, ["key", "run"], "nth", f).select("key", "value", F.struct(F.col("run").cast("int").alias("s"), F.lit(0).cast("long").alias("o")).alias("at"))
         if folded.groupBy("key").count().where("count > 1").isEmpty():
             return folded.select("key", "value")
-        rows = folded.checkpoint() if folded.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else folded
+        rows = durable(folded)
     return _gather(rows, ["key"], "at", f).select("key", "value")
 
 
@@ -109,14 +113,26 @@ def fold_python(entries: DataFrame, f: Callable[[object, object], object]) -> Da
     return rows.mapInArrow(run, kinds)
 
 
+class Keyed(Protocol):
+    """What a set asks of a store."""
+
+    spark: SparkSession
+    hash: str
+
+    def entries(self) -> DataFrame: ...
+    def may_hold(self, h: int) -> bool: ...
+    def lookup(self, key: str | bytes) -> DataFrame: ...
+    def close(self) -> None: ...
+
+
 @dataclass(frozen=True)
 class SourceSet:
-    """An immutable stack of named sources; what was added last has precedence. Adding a name again moves it to the top."""
+    """An immutable stack of named sources, stores or entries; what was added last has precedence. Adding a name again moves it to the top."""
 
-    sources: tuple[tuple[str, DataFrame], ...] = field(default=())
+    sources: tuple[tuple[str, DataFrame | Keyed], ...] = field(default=())
 
-    def add(self, name: str, entries: DataFrame) -> SourceSet:
-        return SourceSet((*self.remove(name).sources, (name, entries)))
+    def add(self, name: str, source: DataFrame | Keyed) -> SourceSet:
+        return SourceSet((*self.remove(name).sources, (name, source)))
 
     def remove(self, name: str) -> SourceSet:
         """The set without a source; what that one covered shows again."""
@@ -131,16 +147,42 @@ class SourceSet:
         return len(self.sources)
 
     def stacked(self) -> DataFrame:
-        return stack(*[entries for _, entries in self.sources])
+        return stack(*[s if isinstance(s, DataFrame) else s.entries() for _, s in self.sources])
 
     def entries(self) -> DataFrame:
         return latest(self.stacked())
 
+    def candidates(self, key: str | bytes) -> list[str]:
+        """The sources that are read for a key: of stores only those whose shared hash bits agree with the key's hash."""
+        hashes: dict[str, int] = {}
+        found = []
+        for name, source in self.sources:
+            if not isinstance(source, DataFrame):
+                if source.hash not in hashes:
+                    # a literal's hash is folded by the optimizer, no job runs
+                    hashes[source.hash] = source.spark.sql("VALUES (1)").select(hash_of(F.lit(key), source.hash)).first()[0]
+                if not source.may_hold(hashes[source.hash]):
+                    continue
+            found.append(name)
+        return found
+
+    def lookup(self, key: str | bytes) -> DataFrame | None:
+        """(value) of a key, from the newest source that has it; None if no source can have it. Of a store one shard is read."""
+        asked = set(self.candidates(key))
+        parts = []
+        for at, (name, source) in enumerate(self.sources):
+            if name in asked:
+                rows = source.where(F.col("key") == F.lit(key)) if isinstance(source, DataFrame) else source.lookup(key).withColumn("key", F.lit(key))
+                order = F.col("ord") if "ord" in rows.columns else F.lit(0).cast("long")
+                parts.append(rows.select("key", "value", F.lit(at).alias("src"), order.alias("ord")))
+        return latest(reduce(DataFrame.unionByName, parts)).select("value") if parts else None
+
     def get(self, key: str | bytes) -> str | bytes | None:
         """The value of a key, from the newest source that has it; None without one."""
-        row = latest(self.stacked().where(F.col("key") == F.lit(key))).first()
+        found = self.lookup(key)
+        row = None if found is None else found.first()
         return None if row is None else bytes(row["value"]) if isinstance(row["value"], bytearray) else row["value"]
 
     def close(self) -> None:
-        for _, entries in self.sources:
-            entries.unpersist()
+        for _, source in self.sources:
+            source.unpersist() if isinstance(source, DataFrame) else source.close()

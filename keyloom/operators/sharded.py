@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,27 +16,25 @@ def of_shard(entries: DataFrame, shard: int, shards: int, hash_name: str = "murm
     return entries.where(shard_of(hash_of(F.col("key"), hash_name), shards) == shard)
 
 
-def save_bucketed(entries: DataFrame, table: str, buckets: int) -> None:
-    """A table bucketed and sorted by key, for merges and joins in place."""
-    entries.select("key", "value").write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").format("parquet").saveAsTable(table)
+def save_bucketed(entries: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """A table bucketed and sorted by key, for merges and joins in place; at a path, or in the warehouse."""
+    writer = entries.select("key", "value").repartition(buckets, "key").write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 def merge_bucketed(spark: SparkSession, *tables: str) -> DataFrame:
-    """Last-wins merge of tables with the same number of buckets and one row a key.
+    """Last-wins merge of tables with the same number of buckets and one row a key, bucket by bucket where they lie, without a shuffle.
 
-    Two tables are merged bucket by bucket where they lie. Of more, neighbours are merged in pairs, and only
-    the merged pairs are shuffled to meet.
+    Each table gives the entries whose keys no newer one has. That reads the keys of a table once for each older one, which
+    suits a few tables.
     """
     parts = [spark.table(name).select("key", "value") for name in tables]
-    while len(parts) > 1:
-        parts = [_override(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
-
-
-def _override(old: DataFrame, new: DataFrame) -> DataFrame:
-    newer = new.select("key", F.col("value").alias("newer"), F.lit(True).alias("has"))
-    joined = old.join(newer.hint("merge"), "key", "full_outer")
-    return joined.select("key", F.when(F.col("has"), F.col("newer")).otherwise(F.col("value")).alias("value"))
+    newest = []
+    for i, part in enumerate(parts):
+        for newer in parts[i + 1 :]:
+            part = part.join(newer.select("key").hint("merge"), "key", "left_anti")
+        newest.append(part)
+    return reduce(DataFrame.unionByName, newest)
 
 
 def assign_paths(files: DataFrame, shards: int) -> DataFrame:

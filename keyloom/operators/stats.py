@@ -8,9 +8,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.hashing import MASK
 from ..functions.text import entry_bytes
+from ..session import durable
 
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
@@ -45,9 +47,35 @@ def read_size(mean: Column, variance: Column, n: Column) -> Column:
 
 
 def quantiles(df: DataFrame, column: str, qs: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """(q, value): exact quantiles by linear interpolation; 0 for an empty column."""
-    found = df.agg(F.percentile(column, F.array(*map(F.lit, qs))).alias("v"))
-    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.coalesce("v", F.array_repeat(F.lit(0.0), len(qs))).alias("value"))).alias("x")).select("x.q", "x.value")
+    """(q, value): exact quantiles by linear interpolation; 0 for an empty column.
+
+    Values are counted and sorted by range. The driver holds one count a range and finds in which ranges the wanted ranks fall;
+    running counts within these give the two values next to each quantile.
+    """
+    spark = df.sparkSession
+    counted = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    ranged = durable(counted.repartitionByRange("v").withColumn("range", F.spark_partition_id()))
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy("range").agg(F.sum("n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        return spark.createDataFrame([(q, 0.0) for q in qs], "q double, value double")
+    begins, at = [], 0
+    for name, n in sizes:
+        begins.append((name, at, n))
+        at += n
+    wanted = {q: (total - 1) * q for q in qs}
+    ranks = sorted({r for place in wanted.values() for r in (int(place), min(int(place) + 1, total - 1))})
+    inside = [(name, begin, [r - begin for r in ranks if begin <= r < begin + n]) for name, begin, n in begins]
+    asked = spark.createDataFrame([(name, r, begin + r) for name, begin, rs in inside for r in rs], "range int, rank long, place long")
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    running = ranged.where(F.col("range").isin([name for name, _, rs in inside if rs])).withColumn("upto", upto)
+    met = running.join(F.broadcast(asked), "range").where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    value = {r["place"]: r["v"] for r in met.select("place", "v").collect()}
+    rows = []
+    for q, place in wanted.items():
+        low, high = value[int(place)], value[min(int(place) + 1, total - 1)]
+        rows.append((q, low + (high - low) * (place - int(place))))
+    return spark.createDataFrame(rows, "q double, value double")
 
 
 def throughput(df: DataFrame, ts: str) -> DataFrame:

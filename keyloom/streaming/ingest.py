@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import SourceSet
+from ..session import Files
 from ..sources.delimited import parse_lines
 from ..sources.store import build, is_store, open_store
 
@@ -31,7 +30,7 @@ def ingest(spark: SparkSession, incoming: str, stores: str, checkpoint: str, del
 def ingested(spark: SparkSession, stores: str, names: list[str] | None = None) -> SourceSet:
     """The set of all ingested batches, later ones ranking higher."""
     found = SourceSet()
-    for name in sorted(names if names is not None else os.listdir(stores)):
+    for name in sorted(names if names is not None else Files(spark, stores).names(stores)):
         if is_store(spark, f"{stores}/{name}"):
-            found = found.add(name, open_store(spark, f"{stores}/{name}").entries())
+            found = found.add(name, open_store(spark, f"{stores}/{name}"))
     return found

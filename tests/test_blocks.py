@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +49,6 @@ def test_corrupt_blocks_raise_or_are_skipped(spark):
 
 def test_order_and_offsets(spark):
     rows = blocks.in_order(entries(spark), 2, "md5_32")
-    assert blocks.order_breaks(rows, "shard").agg(F.sum("breaks")).first()[0] == 0
     sized = blocks.running_offsets(rows.withColumn("size", F.lit(10)), "shard", ["h", "key"])
     assert sized.groupBy("shard").agg(F.max("offset").alias("m"), F.count("*").alias("n")).where("m <> 10 * (n - 1)").count() == 0
 
@@ -77,3 +78,47 @@ def test_lookups(spark):
     assert lookup.sample_keys(rows, 5).collect() == lookup.sample_keys(rows.repartition(3), 5).collect()
     with pytest.raises(ValueError):
         lookup.multi_get(rows, asked, "outer")
+
+
+@pytest.mark.parametrize("size", ["1000", "10m"])
+def test_breaks_of_stored_order(spark, tmp_path, size):
+    """Files in order, shuffled, and of repeated keys, read whole and in pieces."""
+    rng = random.Random(4)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name in ("sorted", "shuffled", "equal"):
+            rows = [(rng.randrange(50), f"k{rng.randrange(400)}") for _ in range(2000)]
+            rows = sorted(rows) if name == "sorted" else [(1, "k")] * 2000 if name == "equal" else rows
+            path = str(tmp_path / name)
+            spark.createDataFrame(rows, "h long, key string").coalesce(1).write.option("parquet.block.size", 2000).option("parquet.page.size", 500).parquet(path)
+            stored = [tuple(r) for r in pq.ParquetFile(next((tmp_path / name).glob("*.parquet"))).read().to_pandas().values]
+            found = blocks.order_breaks(spark.read.parquet(path)).first()
+            assert (found["entries"], found["breaks"]) == (2000, sum(b < a for a, b in zip(stored, stored[1:])))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_cut_running_totals_equal_whole_ones(spark):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(s, rng.randrange(300), f"k{i}", rng.randrange(9)) for i in range(500) for s in (0, 1)], "shard int, h long, key string, size long")
+    cut = F.shiftrightunsigned("h", 4)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
+    assert same(blocks.running_offsets(rows, "shard", ["h", "key"]), blocks.running_offsets(rows, "shard", ["h", "key"], cut=cut))
+    assert same(blocks.hash_ordinals(rows, "shard"), blocks.hash_ordinals(rows, "shard", cut))
+
+
+def test_one_block(spark):
+    coded = blocks.encode_blocks(entries(spark), 2, 512)
+    told = {(r["shard"], r["block"]): r["n"] for r in coded.collect()}
+    assert all(blocks.read_block(coded, *place).count() == n for place, n in list(told.items())[:3])
+    assert blocks.read_block(coded, 9, 9).count() == 0
+
+
+def test_quantiles_against_numpy(spark):
+    rng = random.Random(6)
+    values = [rng.choice([1.0, 2.5, rng.random() * 100]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5)
+    found = {r["q"]: r["value"] for r in stats.quantiles(df, "v").collect()}
+    assert all(v == pytest.approx(np.quantile(values, q)) for q, v in found.items())

@@ -1,13 +1,20 @@
+import hashlib
 import io
+import shutil
+import zlib
+from collections import Counter
+from pathlib import Path
 
 import pytest
+import xxhash
 
 from keyloom import cli
-from keyloom.functions.hashing import CODECS, hash_of, shard_bits
-from keyloom.operators.merge import fold
+from keyloom.functions.hashing import CODECS, HASHES, hash_of, shard_bits
+from keyloom.operators import lookup
+from keyloom.operators.merge import SourceSet, fold, last_wins
 from keyloom.operators.sharded import merge_bucketed, save_bucketed
 from keyloom.sources.delimited import from_lines, format_lines, read_delimited, write_delimited
-from keyloom.sources.entries import from_pairs
+from keyloom.sources.entries import from_pairs, to_entries
 from keyloom.sources.store import build, is_store, merge_stores, open_store
 from keyloom.streaming.ingest import ingest, ingested
 from pyspark.sql import functions as F
@@ -94,22 +101,131 @@ def test_merge_stores(spark, tmp_path):
     b = build(from_pairs(spark, {"b": "5"}), str(tmp_path / "b"), shards=2)
     assert pairs(merge_stores([a, b], str(tmp_path / "c"), shards=2).entries()) == [("a", "1"), ("b", "5")]
     assert pairs(merge_stores([a, b], str(tmp_path / "d"), f="sum", shards=2).entries()) == [("a", "1"), ("b", "7")]
-    with pytest.raises(ValueError):
-        merge_stores([a, b], a.path)
+    # also into the place of one of them
+    assert pairs(merge_stores([a, b], a.path, shards=2).entries()) == [("a", "1"), ("b", "5")]
+
+
+def test_a_store_must_be_whole(spark, tmp_path):
+    path = tmp_path / "s"
+    store = build(from_pairs(spark, {f"k{i}": "v" for i in range(200)}), str(path), shards=4)
+    part = next(Path(store.place).glob("entries/shard=1"))
+    shutil.move(part, tmp_path / "away")
+    assert not is_store(spark, str(path))
+    with pytest.raises(OSError, match="lacks entries"):
+        open_store(spark, str(path))
+    shutil.move(tmp_path / "away", part)
+    assert is_store(spark, str(path))
+    # cut off within a file
+    file = next(part.glob("*.parquet"))
+    data = file.read_bytes()
+    file.write_bytes(data[:-9])
+    assert not is_store(spark, str(path))
+
+
+def test_a_build_that_breaks_off_leaves_the_store(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store = build(from_pairs(spark, {"a": "1"}), path, shards=2)
+    with pytest.raises(Exception, match="null"):
+        build(to_entries(spark.createDataFrame([("b", None)], "key string, value string"), "key", "value"), path, shards=2)
+    # entries without a manifest, as a crash would leave them
+    half = tmp_path / "s" / "v000000007" / "entries"
+    half.mkdir(parents=True)
+    (half / "x.parquet").write_bytes(b"")
+    assert open_store(spark, path).get("a") == "1"
+    newer = build(last_wins(store.entries(), from_pairs(spark, {"c": "3"})), path, shards=2, duplicates="keep")
+    assert pairs(newer.entries()) == [("a", "1"), ("c", "3")] and [p.name for p in (tmp_path / "s").glob("v*")] == ["v000000008"]
+
+
+def test_cached_stores_answer_from_memory(spark, tmp_path):
+    path = str(tmp_path / "s")
+    build(from_pairs(spark, {f"k{i}": "v" for i in range(20)}), path, shards=2)
+    store = open_store(spark, path, cached=True)
+    assert store.get("k3") == "v" and "InMemoryTableScan" in store.lookup("k3")._jdf.queryExecution().executedPlan().toString()
+    SourceSet().add("s", store).close()
+    assert "InMemoryTableScan" not in store.lookup("k3")._jdf.queryExecution().executedPlan().toString()
+
 
+def test_sets_read_only_stores_that_may_hold_a_key(spark, tmp_path):
+    data = [{f"k{i}": f"{n}" for i in range(n, 40, 4)} for n in range(4)] + [{"k1": "last"}]
+    held = SourceSet()
+    for n, pairs_ in enumerate(data):
+        held = held.add(str(n), build(from_pairs(spark, pairs_), str(tmp_path / str(n)), shards=16, hash_name=["murmur3", "md5_32"][n % 2]))
+    held = held.add("frame", from_pairs(spark, {"k2": "frame"}))
+    read = 0
+    for i in range(42):
+        at = held.candidates(f"k{i}")
+        read += len(at) - 1
+        assert "frame" in at and all(str(n) in at for n, d in enumerate(data) if f"k{i}" in d)
+    assert read < 42 * 3
+    assert [held.get(k) for k in ("k0", "k1", "k2", "k3", "none")] == ["0", "last", "frame", "3", None]
+    assert held.remove("4").get("k1") == "1" and SourceSet().add("4", held.sources[4][1]).lookup("k30") is None
+    held.close()
 
-def test_bucketed_merge_has_no_exchange(spark):
+
+def test_few_keys_cut_the_entries_down_first(spark, monkeypatch):
+    rows = from_pairs(spark, {f"k{i}": f"v{i}" for i in range(30)}).select("key", "value")
+    asked = spark.createDataFrame([("k1",), ("k1",), ("no",)], "key string")
+    ways = {how: sorted(map(tuple, lookup.multi_get(rows, asked, how).collect()), key=str) for how in lookup.WAYS}
+    assert ways == {"left": [("k1", "v1"), ("k1", "v1"), ("no", None)], "inner": [("k1", "v1")] * 2, "semi": [("k1",)] * 2, "anti": [("no",)]}
+    monkeypatch.setattr(lookup, "BROADCAST_KEYS", 1)
+    assert {how: sorted(map(tuple, lookup.multi_get(rows, asked, how).collect()), key=str) for how in lookup.WAYS} == ways
+
+
+def test_hashes_against_other_libraries(spark):
+    keys = ["", "a", "abcd", "abcdefg", "schlüssel", "x" * 99]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = {r["key"]: r for r in df.select("key", *[f(F.col("key")).alias(n) for n, f in HASHES.items()]).collect()}
+
+    def murmur3(data):
+        """As Spark has it: whole words, then each byte left over, signed, like a word."""
+        h, mask = 42, 0xFFFFFFFF
+        cut = len(data) // 4 * 4
+        for k in [int.from_bytes(data[i : i + 4], "little") for i in range(0, cut, 4)] + [b - 256 if b > 127 else b for b in data[cut:]]:
+            k = k * 0xCC9E2D51 & mask
+            k = (k << 15 | k >> 17) * 0x1B873593 & mask
+            h ^= k
+            h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+        h ^= len(data)
+        h = (h ^ h >> 16) * 0x85EBCA6B & mask
+        h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+        return h ^ h >> 16
+
+    for k in keys:
+        b = k.encode()
+        wanted = {"crc32": zlib.crc32(b), "md5_32": int(hashlib.md5(b).hexdigest()[:8], 16), "xxhash32": xxhash.xxh64_intdigest(b, 42) >> 32, "murmur3": murmur3(b)}
+        assert {n: got[k][n] for n in HASHES} == wanted
+
+
+def test_validate_tells_totals_and_benchmark_reads_all_stores(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n}.tsv").write_text(f"{n}\t1\n")
+        assert cli.main(["build", "--block-size", "4096", str(tmp_path / f"{n}.tsv"), str(tmp_path / n)], spark) == 0
+    out = io.StringIO()
+    assert cli.main(["validate", str(tmp_path / "a"), str(tmp_path / "b")], spark, out) == 0
+    assert out.getvalue().splitlines()[-1].startswith("all 2: 2 entries, 20 bytes, nothing missing")
+    assert open_store(spark, str(tmp_path / "a")).block_size == 4096
+    out = io.StringIO()
+    assert cli.main(["benchmark", "-n", "2", str(tmp_path / "a"), str(tmp_path / "b")], spark, out) == 0
+    assert len(out.getvalue().splitlines()) == 8
+
+
+def test_bucketed_merge_has_no_exchange(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         save_bucketed(from_pairs(spark, {f"k{i}": "old" for i in range(40)}), "old", 4)
-        save_bucketed(from_pairs(spark, {f"k{i}": "new" for i in range(0, 40, 2)}), "new", 4)
+        save_bucketed(from_pairs(spark, {f"k{i}": "new" for i in range(0, 40, 2)}), "new", 4, str(tmp_path / "new"))
+        save_bucketed(from_pairs(spark, {f"k{i}": "newest" for i in range(0, 50, 10)}), "newest", 4)
         merged = merge_bucketed(spark, "old", "new")
         assert sum(r["value"] == "new" for r in merged.collect()) == 20
         assert "Exchange" not in plan(merged)
+        merged = merge_bucketed(spark, "old", "new", "newest")
+        assert Counter(r["value"] for r in merged.collect()) == {"old": 20, "new": 16, "newest": 5} and merged.count() == 41
+        assert "Exchange" not in plan(merged)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS old")
         spark.sql("DROP TABLE IF EXISTS new")
+        spark.sql("DROP TABLE IF EXISTS newest")
 
 
 def test_command_line(spark, tmp_path, capsys):
