@@ -5,11 +5,12 @@ presence of words, pairs of neighbours, and pairs with one or two words between
 coordinates. FTRL-proximal gives each coordinate its own rate, and its L1 term keeps only a few of them: the
 fitted weights are a short sorted list, at most 2^20 pairs, and are broadcast for scoring.
 
-Training sees at most `SAMPLE` labelled rows, those with the smallest hash of their doc_id; held-out rows
-(crc32 of the id modulo 5 is 0) never. Scores depend on the text alone.
+Training sees at most `SAMPLE` labelled rows and `SAMPLE_BYTES` of their texts, those with the smallest hash of their doc_id; held-out rows
+(crc32 of the id modulo 5 is 0) never. So the one task that learns holds a bounded number of features, however long or often repeated
+the texts are. Scores depend on the text alone.
 
 Defined results: a null or empty text scores as the bias alone; a label or doc_id that is null is not learned
-from; a doc_id that is labelled or occurs several times is learned from each time; without a usable label nothing
+from; equal rows are learned from once, different texts or labels of one doc_id each; without a usable label nothing
 is toxic (scores near 0). An empty documents table gives an empty result. Extra columns are ignored by `score` and kept by `keep_clean`.
 """
 
@@ -24,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ALNUM, fold, map_columns, raw, remainder
+from .common import ALNUM, durable, fold, map_columns, raw, remainder
 
-BITS, FOLDS, SAMPLE, EPOCHS = 20, 5, 24_000, 3
+BITS, FOLDS, SAMPLE, SAMPLE_BYTES, EPOCHS = 20, 5, 24_000, 1 << 27, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 BIAS = 1 << BITS
 #: Multipliers of a pair's words, for each distance between them.
@@ -120,12 +122,19 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, names=["index", "value", "bias"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from at most `sample` labelled documents outside the held-out fold, fitted in one task."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Weights:
+    """Weights from at most `sample` labelled documents outside the held-out fold, of so many bytes, fitted in one task."""
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic IN (0, 1)").where(fold("doc_id", FOLDS) != 0)
-    picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
-    one = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(1), "doc_id"), F.xxhash64("text"), "toxic").select("text", "toxic")
+    order = [F.xxhash64("doc_id"), "doc_id", "toxic"]
+    picked = usable.distinct().orderBy(*order).limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    # which rows these are is settled before any text moves
+    keys = rows.select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")).join(F.broadcast(picked), "doc_id").distinct()
+    keys = durable(keys.orderBy(*order, "hash").limit(sample))
+    upto = F.sum("bytes").over(Window.orderBy(*order, "hash").rowsBetween(Window.unboundedPreceding, 0))
+    keys = keys.withColumn("upto", upto).where(F.col("upto") <= size).select("doc_id", "hash", "toxic")
+    texts = rows.join(F.broadcast(keys), ["doc_id", "hash"]).groupBy("doc_id", "hash", "toxic").agg(F.first("text").alias("text"))
+    one = texts.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(1), "doc_id"), "hash", "toxic").select("text", "toxic")
     fitted = one.mapInArrow(_fit, "index array<long>, value array<double>, bias double").first()
     if fitted is None:
         return Weights(np.empty(0, np.int64), np.empty(0), -40.0)
