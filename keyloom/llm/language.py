@@ -7,17 +7,21 @@ are up to `LANDMARKS` training texts; the Nystroem map they give feeds a one-ver
 Scores of a batch of documents are one matrix product: their presence rows times the weights that the
 regression, the Nystroem map and the landmarks' presence rows multiply out to.
 
-Training sees at most `PER_LANG` documents of a language, those with the smallest hash of their doc_id, with a
-non-null lang and outside the held-out fold (crc32 of the id modulo 4 is 2). A prediction depends on the text only.
+Training sees at most `PER_LANG` documents of each of the `MAX_LANGS` most frequent languages, those with the smallest hash of their
+doc_id, with a non-null lang and outside the held-out fold (crc32 of the id modulo 4 is 2). Of each only the n-grams leave its task.
+Landmarks are the first of them with at most `MARK_GRAMS` n-grams, others only if a language has none. Their kernel's sums of products come
+from at most `SUMS` tasks; no row of the kernel is collected. The weights are at most `MAX_WEIGHTS` numbers: with many languages
+the n-grams that fewest landmarks have are left out. A prediction depends on the text only.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for all when there is nothing to
 learn from; a text that shares no n-gram with a landmark gets the most frequent learned language with score 0.
-Ties go to the language that sorts first. Repeated rows are predicted, and learned from, each time; a null
-doc_id is in no fold and not learned from. Extra columns are ignored.
+Ties go to the language that sorts first. Repeated rows are predicted each time; of the rows with one doc_id and lang one is
+learned from; a null doc_id is in no fold and not learned from. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -31,8 +35,7 @@ from .common import durable, fold, map_columns, remainder
 
 BITS, ORDERS, FOLDS, HELD_OUT = 20, 4, 4, 2
 PER_LANG, LANDMARKS, RIDGE, BATCH = 1000, 256, 1e-2, 64
-#: Languages up to which the sampled ids, PER_LANG a language, are broadcast.
-MAX_LANGS = 1000
+MAX_LANGS, MARK_GRAMS, SUMS, MAX_WEIGHTS = 1000, 1 << 16, 16, 1 << 24
 MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
 
@@ -93,59 +96,118 @@ def presence(spectra: list[np.ndarray], slots: np.ndarray, width: int) -> np.nda
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """(text, lang, nth): up to per_lang documents of each language, nth in the order of their id's hash."""
+    """(text, lang, nth): up to per_lang documents of each language, nth in the order of their id's hash; a language's repeated ids count once."""
     ids = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
     ids = ids.where(fold("doc_id", FOLDS) != HELD_OUT).withColumn("h", F.xxhash64("doc_id"))
     # a share of each language that holds its smallest hashes is cut out before any sort, so a hot language costs no more
-    share = durable(ids.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(4.0 * per_lang) / F.col("n")).alias("p")))
-    few = share.count() <= MAX_LANGS
-    near = ids.join(F.broadcast(share) if few else share, "lang").where(F.col("h") / F.lit(2.0**63) <= 2 * F.col("p") - 1)
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    share = durable(counts.select("lang", (F.lit(4.0 * per_lang) / F.col("n")).alias("p")))
+    near = ids.join(F.broadcast(share), "lang").where(F.col("h") / F.lit(2.0**63) <= 2 * F.col("p") - 1).select("lang", "h", "doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = near.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("doc_id", "nth").distinct()
+    picked = near.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "doc_id", "nth")
     # texts are met last, and those of the other documents are never moved
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where("lang IS NOT NULL")
-    return texts.join(F.broadcast(picked) if few else picked, "doc_id").select("text", "lang", "nth")
+    return texts.join(F.broadcast(picked), ["lang", "doc_id"]).select("text", "lang", "nth")
+
+
+def _spectra(rows: DataFrame) -> DataFrame:
+    """(lang, nth, grams): the distinct n-grams of the texts that have a letter; of equal places in a language one."""
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            found = [(lang, nth, np.unique(s).astype(np.int32)) for t, lang, nth in zip(*(batch.column(i).to_pylist() for i in range(3))) if (s := spectrum(t)) is not None]
+            kinds = (pa.string(), pa.int32(), pa.list_(pa.int32()))
+            return {n: pa.array(c, k) for n, c, k in zip(("lang", "nth", "grams"), list(zip(*found)) or [()] * 3, kinds)}
+
+        return work
+
+    return map_columns(rows, "lang string, nth int, grams array<int>", make).groupBy("lang", "nth").agg(F.min("grams").alias("grams"))
 
 
 def train(docs: DataFrame) -> Model:
-    rows = durable(sample(docs))
+    rows = durable(_spectra(sample(docs)).repartition(SUMS))
     langs = [(r[0], r[1]) for r in rows.groupBy("lang").count().orderBy("lang").collect()]
     if not langs:
         return Model([], 0, np.empty(0), np.empty(0))
     names = [name for name, _ in langs]
-    texts = rows.where(F.col("nth") <= max(1, LANDMARKS // len(langs))).orderBy("lang", "nth").collect()
-    spectra = [np.unique(s) for r in texts if (s := spectrum(r[0])) is not None]
-    grams = np.unique(np.concatenate([np.empty(0, np.uint32), *spectra]))
-    slots = np.full(1 << BITS, len(grams), dtype=np.int32)
-    slots[grams] = np.arange(len(grams))
-    marks = presence(spectra, slots, len(grams))
-    marks /= np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1))
-    shared = docs.sparkSession.sparkContext.broadcast((slots, marks))
+    long = F.size("grams") > MARK_GRAMS
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(long, "nth"))
+    chosen = rows.withColumn("long", long).withColumn("place", place).where(F.col("place") <= max(1, LANDMARKS // len(langs))).where("NOT long OR place = 1")
+    spectra = [np.array(r[0], dtype=np.uint32) for r in chosen.orderBy("lang", "place").select("grams").collect()]
+    slots, marks = landmarks(spectra, MAX_WEIGHTS // len(langs))
+    shared = docs.sparkSession.sparkContext.broadcast((slots, marks, names))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, marks, names = shared.value
+        number = {name: i for i, name in enumerate(names)}
+        m = len(marks.sizes)
+        square, wanted = np.zeros((m, m)), np.zeros((m, len(names)))
+        for batch in batches:
+            for lang, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+                k = marks.kernel(slots[grams.values.to_numpy(zero_copy_only=False).view(np.uint32)])
+                square += np.outer(k, k)
+                wanted[:, number[lang]] += k
+        yield pa.RecordBatch.from_arrays([pa.array([x.ravel()], pa.list_(pa.float64())) for x in (square, wanted)], names=["square", "wanted"])
+
+    m = len(spectra)
+    parts = rows.select("lang", "grams").mapInArrow(add_up, "square array<double>, wanted array<double>").toArrow()
+    square, wanted = (sum(np.asarray(part.values) for part in parts[n]).reshape(m, -1) for n in ("square", "wanted"))
+    usual = max(range(len(langs)), key=lambda i: langs[i][1])
+    return Model(names, usual, slots, marks.weights(regress(marks, square, wanted)))
 
-    def make():
-        slots, marks = shared.value
 
-        def work(batch: pa.RecordBatch):
-            found = [(s, lang) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (s := spectrum(t)) is not None]
-            kernel = []
-            for at in range(0, len(found), BATCH):
-                x = presence([s for s, _ in found[at : at + BATCH]], slots, marks.shape[1])
-                kernel += list((x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))) @ marks.T)
-            return {"k": pa.array([k.tolist() for k in kernel], pa.list_(pa.float32())), "lang": pa.array([lang for _, lang in found], pa.string())}
+@dataclass
+class Marks:
+    """The landmarks' n-grams: for each slot the landmarks that have it, from starts[slot] in `owners`; and how many slots each landmark has."""
+
+    starts: np.ndarray
+    owners: np.ndarray
+    sizes: np.ndarray
+
+    def kernel(self, slots: np.ndarray) -> np.ndarray:
+        """The kernel of a text, by the slots of its distinct n-grams, with each landmark."""
+        slots = slots[slots < len(self.starts) - 1]
+        begins, counts = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
+        at = np.repeat(begins - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()) if len(slots) else np.empty(0, np.int64)
+        shared = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return shared / np.sqrt(np.maximum(self.sizes * float(len(slots)), 1))
+
+    def gram(self) -> np.ndarray:
+        """The kernel of the landmarks with each other."""
+        order = np.argsort(self.owners, kind="stable")
+        slot = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))[order]
+        return np.array([self.kernel(s) for s in np.split(slot, np.cumsum(self.sizes)[:-1])])
+
+    def weights(self, of_marks: np.ndarray) -> np.ndarray:
+        """Weights of slots, from those of landmarks."""
+        scaled = of_marks / np.sqrt(np.maximum(self.sizes, 1))[:, None]
+        out = np.zeros((len(self.starts) - 1, of_marks.shape[1]), dtype=np.float32)
+        slot = np.repeat(np.arange(len(out)), np.diff(self.starts))
+        for column in range(out.shape[1]):
+            out[:, column] = np.bincount(slot, scaled[self.owners, column], minlength=len(out))
+        return out
+
+
+def landmarks(spectra: list[np.ndarray], most: int) -> tuple[np.ndarray, Marks]:
+    """The slot of each n-gram, and the landmarks by slot; of more than `most` n-grams those that fewest landmarks have get none."""
+    grams, counts = np.unique(np.concatenate([np.empty(0, np.uint32), *spectra]), return_counts=True)
+    grams = np.sort(grams[np.lexsort((grams, -counts))][:most])
+    slots = np.full(1 << BITS, len(grams), dtype=np.int32)
+    slots[grams] = np.arange(len(grams))
+    kept = [s[s < len(grams)] for s in (slots[x] for x in spectra)]
+    slot, owner = np.concatenate([np.empty(0, np.int32), *kept]), np.repeat(np.arange(len(kept)), list(map(len, kept)))
+    order = np.argsort(slot, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=len(grams))))).astype(np.int64)
+    return slots, Marks(starts, owner[order].astype(np.int32), np.array(list(map(len, kept)), dtype=np.int64))
 
-        return work
 
-    seen = map_columns(rows.select("text", "lang"), "k array<float>, lang string", make).collect()
-    usual = max(range(len(langs)), key=lambda i: langs[i][1])
-    if not seen or not len(grams):
-        return Model(names, usual, slots, np.zeros((len(grams), len(names)), np.float32))
-    value, vector = np.linalg.eigh(marks.astype(np.float64) @ marks.T)
+def regress(marks: Marks, square: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Weights of landmarks by language: Nystroem map, then ridge regression, from the sums of k k' and of k y' over the training texts."""
+    value, vector = np.linalg.eigh(marks.gram())
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    mapped = np.array([r[0] for r in seen], dtype=np.float64) @ root
-    wanted = np.array([[float(r[1] == name) for name in names] for r in seen])
-    ridge = np.linalg.solve(mapped.T @ mapped + RIDGE * np.eye(mapped.shape[1]), mapped.T @ wanted)
-    return Model(names, usual, slots, (marks.T @ (root @ ridge)).astype(np.float32))
+    ridge = np.linalg.solve(root.T @ square @ root + RIDGE * np.eye(root.shape[1]), root.T @ wanted)
+    return root @ ridge
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -346,16 +346,6 @@ def test_languages_are_told_apart(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in language.identify(blind).collect()} == {i: r["lang_pred"] for i, r in found.items()}
 
 
-def test_kernel_scores_against_the_kernel_itself(spark):
-    texts = ["abc abd", "xyz xya", "abd", "q"]
-    sets = [set(language.spectrum(t).tolist()) for t in texts]
-    grams = np.array(sorted(set().union(*sets)), dtype=np.uint32)
-    slots = np.full(1 << language.BITS, len(grams), dtype=np.int32)
-    slots[grams] = np.arange(len(grams))
-    rows = language.presence([language.spectrum(t) for t in texts], slots, len(grams))
-    assert (rows @ rows.T == [[len(a & b) for b in sets] for a in sets]).all()
-
-
 # -- 6: sharding
 
 

@@ -1,7 +1,6 @@
 """The pipeline against a brute-force version of its stages over the driver's smallest tables."""
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -9,7 +8,8 @@ import pytest
 import corpus_pipeline
 from keyloom.llm import decontaminate, pieces, segment, simhash, surrogates, toxicity
 
-from tests.llm.test_operators import DOCS, slow_components, slow_fingerprint, slow_scan
+from tests.llm.test_operators import DOCS, slow_scan
+from tests.llm.test_similar import slow_firsts
 
 
 @pytest.fixture(scope="module")
@@ -25,18 +25,16 @@ def test_run_equals_brute_force(spark, sf, tables):
     weights = toxicity.train(tables["documents"], tables["labels"])
     rows = {r["doc_id"]: r["text"] for r in tables["documents"].collect()}
     clean = {i: t for i, t in rows.items() if weights.score(t and t.encode()) < 0.5}
-    fps = {i: slow_fingerprint(t) for i, t in clean.items()}
-    roots, first = slow_components(set(fps.values())), defaultdict(lambda: 1 << 60)
-    for i, f in fps.items():
-        first[roots[f]] = min(first[roots[f]], i)
-    single = {i: t for i, t in clean.items() if first[roots[fps[i]]] == i}
+    clean_rows = list(clean.items())
+    single = dict(clean_rows[at] for at in slow_firsts(clean_rows))
     items = [(r["item_id"], r["text"]) for r in tables["benchmark"].collect()]
     scanned = {r[0]: r for r in slow_scan(list(single.items()), items)}
     kept = {i for i, r in scanned.items() if not r[5] and r[2] <= 0.5 * r[1]}
+    spark.conf.set(surrogates.SETTING, "k")
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(out) == kept and 0 < len(kept) <= len(single) < len(rows)
     spelled = segment.Encoder(segment.Lattice(pieces.scored_pieces(pieces.model_path())))
-    scrub = surrogates.Surrogates()
+    scrub = surrogates.Surrogates(b"k")
     for i in kept:
         text = single[i]
         if scanned[i][2]:
@@ -46,6 +44,18 @@ def test_run_equals_brute_force(spark, sf, tables):
         assert out[i]["restored"]
 
 
+def test_a_run_goes_on_behind_the_last_whole_stage(spark, sf, tmp_path, monkeypatch):
+    ran = []
+    stages = [(name, lambda s, d, f, n=name: ran.append(n) or d.limit(5)) for name, _ in corpus_pipeline.STAGES]
+    broken = [*stages[:2], (stages[2][0], lambda *_: 1 / 0), *stages[3:]]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", broken)
+    with pytest.raises(ZeroDivisionError):
+        corpus_pipeline.run(spark, sf, str(tmp_path))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert corpus_pipeline.run(spark, sf, str(tmp_path)).count() == 5
+    assert ran == ["toxicity", "simhash", "decontamination", "pii", "sentencepiece"]
+
+
 def test_documents_without_anything_pass_untouched(spark, sf):
     docs = spark.createDataFrame([(10_000 + i, " ".join(f"w{(i * 7919 + k * k) % 5003}x" for k in range(60)), "en", "s", 1) for i in range(20)], DOCS)
     out = docs
