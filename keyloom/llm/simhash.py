@@ -8,15 +8,17 @@ Candidate search: two fingerprints that differ in at most 4 bits agree in at lea
 bytes. The index therefore posts each distinct fingerprint under 20 triples of byte positions, chosen so that any
 4 positions include one triple (a Turan design); a posting list holds the fingerprints that agree in these
 three bytes. Within a list, shared positional bytes are tallied per pair, pairs below the guaranteed 4 are
-dropped, the rest verified bit by bit. Lists longer than `max_list` are not compared but split: first by
-a fourth byte, then by fifths of the other bits, which again loses no pair. Lists give the edges of a spanning
+dropped, the rest verified bit by bit. Lists longer than `max_list` are not compared but split, as often as it takes: first by
+a fourth byte, then by fifths of the bits that are still free, which again loses no pair, as 4 bits can't differ in all five. Lists give the edges of a spanning
 forest, not all pairs, and only distinct fingerprints are indexed, so copies of one text cost nothing.
 
 `deduplicate_similar`, the pipeline's stage, links texts by content instead: two texts are similar if their sets of
 five-word shingles have a Jaccard similarity of 0.8 or more. Copies, up to case and blanks, are met first. Of the
 distinct texts, candidates share one of 20 bands of 4 MinHash values each, which a pair at 0.8 misses with a
-chance of 3 in 100,000, and every candidate pair's sets are compared. In each band's list all texts are compared to the first,
-then all pairs that are not yet in one component.
+chance of 3 in 100,000, and every candidate pair's sets are compared. In each band's list all texts are compared to the first.
+Where this leaves several components in a list, their pairs are compared if the list has at most `MAX_PAIRED` texts; a longer one
+is split by bands of its own, of twice, three times ... as many further minima, and so many more of them that the chance of a miss stays,
+until its parts are short. So no group's pairs are ever laid out whole.
 
 Defined results: a null or empty text, or one of blanks, has fingerprint zero and links like any other; a text of
 fewer than four words has one shingle, itself. A null doc_id never names a component unless the component
@@ -26,21 +28,22 @@ are told apart. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import durable, map_columns, numbered, raw
 
 SEED, SHINGLE, MAX_BITS, MAX_LIST = 42, 4, 4, 4096
-#: Similar texts: words in a shingle, minima in a band, bands; row numbers that are broadcast at most.
-LONG_SHINGLE, BAND, BANDS, MAX_BROADCAST = 5, 4, 20, 1 << 20
+#: Similar texts: words in a shingle, minima in a band, chance that a pair at 0.8 is missed; texts of a list whose pairs are compared; row numbers that are broadcast at most.
+LONG_SHINGLE, BAND, MISS, MAX_PAIRED, MAX_BROADCAST = 5, 4, 4e-5, 128, 1 << 20
 
 
 def _triples() -> list[tuple[int, ...]]:
@@ -100,48 +103,52 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     return map_columns(rows, f"{kinds}, fp long", make)
 
 
-def _byte(fp: str, at: int) -> Column:
-    return F.shiftrightunsigned(F.col(fp), 8 * at).bitwiseAND(F.lit(0xFF))
+def _mask(positions: tuple[int, ...]) -> int:
+    """The bits of some bytes, as a signed long."""
+    mask = sum(0xFF << 8 * at for at in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _key(code: int, positions: tuple[int, ...]) -> Column:
-    """The named bytes, with the number of the key's kind above them."""
-    key = F.lit(code).cast("long")
-    for at in positions:
-        key = F.shiftleft(key, 8).bitwiseOR(_byte("fp", at))
-    return key
+FOURS: dict[int, list[int]] = {_mask(t): [_mask((*t, more)) for more in range(8) if more not in t] for t in TRIPLES}
 
 
-#: Keys of the second level: every set of 4 positions, for each triple that it includes.
-FOURS = [(t, (*triple, more)) for t, triple in enumerate(TRIPLES) for more in range(8) if more not in triple]
+def _narrower(mask: int) -> list[int]:
+    """The masks by which a list that agrees in the bits of one mask is split: with a fourth byte, or a fifth of the free bits."""
+    if mask in FOURS:
+        return FOURS[mask]
+    free = [b for b in range(64) if not mask >> b & 1]
+    fifths = [sum(1 << b for b in free[i * len(free) // 5 : (i + 1) * len(free) // 5]) | mask for i in range(5)]
+    return [m - (1 << 64) if m >> 63 & 1 and m > 0 else m for m in fifths]
 
 
-def _fifths(four: tuple[int, ...]) -> list[tuple[int, int, int]]:
-    """The other 32 bits in five parts, as (byte group shift pieces): any 4 differing bits leave one part equal."""
-    rest = [at for at in range(8) if at not in four]
-    bits = [8 * at + b for at in rest for b in range(8)]
-    return [bits[i * 32 // 5 : (i + 1) * 32 // 5] for i in range(5)]
+def _post(fps: DataFrame) -> DataFrame:
+    """Posting lists as rows (key, mask, fp): key stands for the mask and the bits of fp in it."""
+    masks = F.explode(F.array(*[F.lit(_mask(t)).cast("long") for t in TRIPLES])).alias("mask")
+    return _keyed(fps.select(masks, "fp"))
 
 
-def _post(fps: DataFrame, level: int) -> DataFrame:
-    """Posting lists as rows (key, fp). From the second level on, fps has the key of the list that was too long."""
-    if level == 0:
-        keys = F.array(*[_key(t, triple) for t, triple in enumerate(TRIPLES)])
-    elif level == 1:
-        kind = F.shiftrightunsigned(F.col("key"), 24)
-        keys = F.filter(
-            F.array(*[F.when(kind == t, _key(k, four)) for k, (t, four) in enumerate(FOURS)]), lambda k: k.isNotNull()
-        )
-    else:
-        kind, each = F.shiftrightunsigned(F.col("key"), 32), []
-        for k, (_, four) in enumerate(FOURS):
-            for part, bits in enumerate(_fifths(four)):
-                value = F.lit(0).cast("long")
-                for b in bits:
-                    value = F.shiftleft(value, 1).bitwiseOR(F.shiftrightunsigned(F.col("fp"), b).bitwiseAND(F.lit(1)))
-                each.append(F.when(kind == k, F.xxhash64(F.col("key"), F.lit(part), value)))
-        keys = F.filter(F.array(*each), lambda k: k.isNotNull())
-    return fps.select(F.explode(keys).alias("key"), "fp")
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "mask", "fp")
+
+
+def _split(late: DataFrame) -> DataFrame:
+    """Posting lists of the rows (mask, fp) of lists that were too long."""
+
+    def make():
+        known: dict[int, list[int]] = {}
+
+        def work(batch: pa.RecordBatch):
+            masks, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out = []
+            for mask in np.unique(masks).tolist():
+                some = fps[masks == mask]
+                out += [(np.full(len(some), m), some) for m in known.setdefault(mask, _narrower(mask))]
+            both = [np.concatenate(x) for x in zip(*out)] or [np.empty(0, np.int64)] * 2
+            return {"mask": pa.array(both[0], pa.int64()), "fp": pa.array(both[1], pa.int64())}
+
+        return work
+
+    return _keyed(map_columns(late, "mask long, fp long", make).distinct())
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,65 +174,69 @@ def _forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return edges
 
 
-def _compare(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key in; edges (a, b) out, and (key, fp) of lists over the limit with `late` set."""
+def _compare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, mask, fp) sorted by key and mask in; edges (a, b) out, and (mask, fp) of lists over the limit with `late` set.
+
+    A list that agrees in all but 4 bits has at most 16 fingerprints, so the limit is never less.
+    """
+    limit = max(limit, 16)
 
     def rows(a, b, late):
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), late))], names=["a", "b", "late"])
 
-    hold_k, hold_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-    over: int | None = None  # the key of the list that is being passed on
-    for batch in batches:
-        k = np.concatenate((hold_k, batch.column(0).to_numpy()))
-        f = np.concatenate((hold_f, batch.column(1).to_numpy().view(np.uint64)))
+    def lists(k: np.ndarray, m: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(k):
-            continue
-        cut = int(np.searchsorted(k == k[-1], True)) if k[0] != k[-1] else 0
-        done_k, done_f, hold_k, hold_f = k[:cut], f[:cut], k[cut:], f[cut:]
-        yield from _lists(done_k, done_f, limit, over, rows)
-        if limit and (len(hold_k) > limit or hold_k[0] == over):
-            over = int(hold_k[0])
-            yield from rows(hold_k, hold_f.view(np.int64), True)
-            hold_k, hold_f = hold_k[:0], hold_f[:0]
-    yield from _lists(hold_k, hold_f, limit, over, rows)
-
-
-def _lists(k: np.ndarray, f: np.ndarray, limit: int | None, over: int | None, rows) -> Iterator[pa.RecordBatch]:
-    if not len(k):
-        return
-    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    sizes = np.diff(np.concatenate((starts, [len(k)])))
-    short = np.repeat(sizes <= 32, sizes)
-    ks, fs = k[short], f[short]
-    for step in range(1, int(sizes[sizes <= 32].max(initial=0))):
-        pair = np.flatnonzero(ks[step:] == ks[:-step])
-        pair = pair[_near(fs[pair], fs[pair + step])]
-        yield from rows(fs[pair].view(np.int64), fs[pair + step].view(np.int64), False)
-    for at, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist()):
-        part = f[at : at + size]
-        if limit and (size > limit or k[at] == over):
-            yield from rows(k[at : at + size], part.view(np.int64), True)
-        elif edges := _forest(part):
-            a, b = (np.concatenate(x) for x in zip(*edges))
-            yield from rows(a.view(np.int64), b.view(np.int64), False)
-    if over is not None and k[0] == over and sizes[0] <= 32:
-        yield from rows(k[: sizes[0]], f[: sizes[0]].view(np.int64), True)
+            return
+        starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]))))
+        sizes = np.diff(np.concatenate((starts, [len(k)])))
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        short = np.repeat(sizes <= 32, sizes)
+        ns, fs = number[short], f[short]
+        for step in range(1, int(sizes[sizes <= 32].max(initial=0))):
+            pair = np.flatnonzero(ns[step:] == ns[:-step])
+            pair = pair[_near(fs[pair], fs[pair + step])]
+            yield from rows(fs[pair].view(np.int64), fs[pair + step].view(np.int64), False)
+        for at, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist()):
+            if size > limit:
+                yield from rows(m[at : at + size], f[at : at + size].view(np.int64), True)
+            elif edges := _forest(f[at : at + size]):
+                a, b = (np.concatenate(x) for x in zip(*edges))
+                yield from rows(a.view(np.int64), b.view(np.int64), False)
+
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+    over: tuple[int, int] | None = None  # key and mask of the list that is being passed on
+    for batch in batches:
+        k, m, f = (np.concatenate((h, batch.column(i).to_numpy().view(h.dtype))) for i, h in enumerate(held))
+        if over is not None:
+            rest = int((~((k == over[0]) & (m == over[1]))).argmax()) if ((k != over[0]) | (m != over[1])).any() else len(k)
+            yield from rows(m[:rest], f[:rest].view(np.int64), True)
+            k, m, f = k[rest:], m[rest:], f[rest:]
+            over = over if not len(k) else None
+        if len(k):
+            cut = int(((k == k[-1]) & (m == m[-1])).argmax())
+            yield from lists(k[:cut], m[:cut], f[:cut])
+            k, m, f = k[cut:], m[cut:], f[cut:]
+            if len(k) > limit:
+                over = int(k[0]), int(m[0])
+                yield from rows(m, f.view(np.int64), True)
+                k, m, f = k[:0], m[:0], f[:0]
+        held = [k, m, f]
+    yield from lists(*held)
 
 
 def links(fps: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that span every component of links."""
-    found, todo = None, fps
-    for level in range(3):
-        limit = max_list if level < 2 else None
-        posts = _post(todo, level).repartition("key").sortWithinPartitions("key")
-        out = durable(posts.mapInArrow(lambda batches, n=limit: _compare(batches, n), "a long, b long, late boolean"))
+    found, posts = None, _post(fps)
+    while True:
+        sorted_ = posts.repartition("key").sortWithinPartitions("key", "mask")
+        out = durable(sorted_.mapInArrow(lambda batches: _compare(batches, max_list), "a long, b long, late boolean"))
         edges = out.where("NOT late").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
-        if limit is None or out.where("late").isEmpty():
-            break
-        todo = out.where("late").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-    return found.where("a <> b").distinct()
+        late = out.where("late")
+        if late.isEmpty():
+            return found.where("a <> b").distinct()
+        posts = _split(late.select(F.col("a").alias("mask"), F.col("b").alias("fp")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -279,23 +290,33 @@ def deduplicate(docs: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     return _one_each(docs, row, roots).select(*[f"`{c}`" for c in docs.columns if c != row])
 
 
-def _sketch(text: bytes | None) -> tuple[bytes, list[int]]:
+def bands(level: int) -> tuple[int, int]:
+    """Minima in a band, and bands, with which a pair at 0.8 is missed with a chance of at most `MISS`."""
+    wide = BAND * (level + 1)
+    return wide, math.ceil(math.log(MISS) / math.log(1 - 0.8**wide))
+
+
+@cache
+def _factors(level: int) -> np.ndarray:
+    """One linear function of a shingle's hash for each minimum."""
+    wide, many = bands(level)
+    return np.random.default_rng([SEED, level]).integers(1 << 64, size=(2, wide * many), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
+
+
+def _sketch(text: bytes | None, level: int = 0) -> tuple[bytes, list[int]]:
     """A digest of the text's words, and the keys of its bands; a text without words has none."""
     words = text.lower().split() if text else []
     digest = xxhash.xxh3_128_digest(b" ".join(words))
     if not words:
         return digest, []
-    hashes, low = np.unique(_shingles(words, LONG_SHINGLE)), np.full(BAND * BANDS, np.iinfo(np.uint64).max)
+    (wide, many), (factors, terms) = bands(level), _factors(level)
+    hashes, low = np.unique(_shingles(words, LONG_SHINGLE)), np.full(wide * many, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 512):
-        low = np.minimum(low, (hashes[at : at + 512, None] * FACTORS + TERMS).min(axis=0))
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(low.reshape(BANDS, BAND))]
+        low = np.minimum(low, (hashes[at : at + 512, None] * factors + terms).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(low.reshape(many, wide))]
     return digest, np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-#: One linear function of a shingle's hash for each minimum.
-FACTORS, TERMS = np.random.default_rng(SEED).integers(1 << 64, size=(2, BAND * BANDS), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
-
-
 def _of_rows(docs: DataFrame, row: str, rows: DataFrame, how: str) -> DataFrame:
     """docs semi- or anti-joined to row numbers (column row), without a shuffle of the texts if these are few."""
     few = rows.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
@@ -322,19 +343,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, row: str) -> DataFrame:
     return durable(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
-def _similar(posts: DataFrame, docs: DataFrame, row: str) -> DataFrame:
+def _similar(posts: DataFrame, docs: DataFrame, row: str, level: int = 0) -> DataFrame:
     """Edges (a, b) that span the components of similar texts; posts has each text's band keys and row number."""
-    one = Window.partitionBy("key")
-    lists = durable(posts.select("key", "row", F.min("row").over(one).alias("low"), F.max("row").over(one).alias("high")).where("low <> high"))
+    ends = durable(posts.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high"))
+    lists = durable(posts.join(ends, "key").select("key", "row", "low"))
     first = durable(lists.where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b")).distinct())
     edges = _verified(first, docs, row)
     named = lists.select("key", "row").join(components(edges).withColumnRenamed("node", "row"), "row", "left")
     named = durable(named.select("key", "row", F.coalesce("root", "row").alias("root")))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = named.join(mixed, "key", "left_semi")
-    other = left.select("key", F.col("row").alias("b"), F.col("root").alias("of_b"))
-    more = left.join(other, "key").where("row < b AND root <> of_b").select(F.col("row").alias("a"), "b").distinct()
-    return edges.unionByName(_verified(durable(more.join(first, ["a", "b"], "left_anti")), docs, row))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
+    left = durable(named.join(mixed.select("key", "n"), "key"))
+    short = left.where(F.col("n") <= MAX_PAIRED)
+    other = short.select("key", F.col("row").alias("b"), F.col("root").alias("of_b"))
+    more = short.join(other, "key").where("row < b AND root <> of_b").select(F.col("row").alias("a"), "b").distinct()
+    edges = edges.unionByName(_verified(durable(more.join(first, ["a", "b"], "left_anti")), docs, row))
+    long = left.where(F.col("n") > MAX_PAIRED).select("key", "row")
+    return edges if long.isEmpty() else edges.unionByName(_similar(_finer(long, docs, row, level + 1), docs, row, level + 1))
+
+
+def _finer(lists: DataFrame, docs: DataFrame, row: str, level: int) -> DataFrame:
+    """The lists (key, row), each split by the next level's bands of its texts."""
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            keys = [_sketch(t, level)[1] for t in raw(batch.column(1))]
+            return {"row": batch.column(0), "finer": pa.array(keys, pa.list_(pa.int64()))}
+
+        return work
+
+    texts = _of_rows(docs.select(row, "text"), row, durable(lists.select("row").distinct()), "left_semi")
+    finer = durable(map_columns(texts, "row long, finer array<long>", make))
+    both = lists.join(finer, "row").select("key", "row", F.explode("finer").alias("finer"))
+    return durable(both.select(F.xxhash64("key", "finer").alias("key"), "row"))
 
 
 def _one_each(docs: DataFrame, row: str, roots: DataFrame) -> DataFrame:

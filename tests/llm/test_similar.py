@@ -40,7 +40,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], DOCS)
 
 
-def test_similar_texts_beyond_four_bits_are_found(spark, sf):
+@pytest.mark.parametrize("paired", [128, 3])
+def test_similar_texts_beyond_four_bits_are_found(spark, sf, paired, monkeypatch):
+    monkeypatch.setattr(simhash, "MAX_PAIRED", paired)
     rng, rows = random.Random(5), []
     for _ in range(10):
         base = [f"w{rng.randrange(5000)}" for _ in range(300)]
@@ -63,3 +65,38 @@ def test_unlike_rows_without_or_with_the_same_id_stay(spark, stage):
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (1, texts[3]), (None, texts[3]), (9, texts[4]), (9, texts[4])]
     kept = sorted(r["n_chars"] for r in stage(frame(spark, rows)).collect())
     assert kept in ([0, 1, 2, 4, 6], [0, 1, 2, 4, 7])
+
+
+def test_lists_of_unlike_texts_are_split(spark, monkeypatch):
+    """Texts that share most of their words with all others, and pairs among them that are similar."""
+    monkeypatch.setattr(simhash, "MAX_PAIRED", 4)
+    finer, split = [], simhash._finer
+    monkeypatch.setattr(simhash, "_finer", lambda *x: finer.append(x[3]) or split(*x))
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(200)]
+    rows = []
+    for i in range(40):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((len(rows), " ".join(shared + own)))
+        if i % 4 == 0:
+            own[rng.randrange(60)] = "changed"
+            rows.append((len(rows), " ".join(shared + own)))
+    kept = {r["n_chars"] for r in simhash.deduplicate_similar(frame(spark, rows)).collect()}
+    assert finer and kept == set(slow_firsts(rows))
+
+
+def test_chance_of_a_miss():
+    for level in range(4):
+        wide, many = simhash.bands(level)
+        assert (1 - 0.8**wide) ** many <= simhash.MISS < (1 - 0.8**wide) ** (many - 1)
+
+
+def test_masks_lose_no_pair_of_four_bits():
+    rng = random.Random(9)
+    for _ in range(200):
+        bits = sum(1 << b for b in rng.sample(range(64), 4))
+        masks = [m for m in map(simhash._mask, simhash.TRIPLES) if not m & bits]
+        assert masks
+        while masks and bin(masks[0] & (1 << 64) - 1).count("1") < 60:
+            masks = [m for m in simhash._narrower(masks[0]) if not m & bits]
+            assert masks
