@@ -1,6 +1,7 @@
 """The pipeline's stage for similar texts against all pairs' Jaccard similarity."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -75,7 +76,7 @@ def test_lists_of_unlike_texts_are_split(spark, monkeypatch):
     rng = random.Random(8)
     shared = [f"s{i}" for i in range(200)]
     rows = []
-    for i in range(40):
+    for i in range(24):
         own = [f"o{rng.randrange(10**6)}" for _ in range(60)]
         rows.append((len(rows), " ".join(shared + own)))
         if i % 4 == 0:
@@ -100,3 +101,9 @@ def test_masks_lose_no_pair_of_four_bits():
         while masks and bin(masks[0] & (1 << 64) - 1).count("1") < 60:
             masks = [m for m in simhash._narrower(masks[0]) if not m & bits]
             assert masks
+
+
+def test_chance_that_minima_of_a_similar_pair_disagree():
+    wide, many = simhash.bands(0)
+    n = wide * many
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(simhash.LEAST_ALIKE)) < 1e-6
