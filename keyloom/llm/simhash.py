@@ -17,9 +17,11 @@ five-word shingles have a Jaccard similarity of 0.8 or more. Copies, up to case
 distinct texts, candidates share one of 20 bands of 4 MinHash values each, which a pair at 0.8 misses with a
 chance of 3 in 100,000. Of a candidate pair the lowest bytes of its 80 minima are compared first: at 0.8 fewer than `LEAST_ALIKE` agree
 with a chance below one in a million. The sets of all other pairs are compared. In each band's list all texts are compared to the first.
-Where this leaves several components in a list, their pairs are compared if the list has at most `MAX_PAIRED` texts; a longer one
-is split by bands of its own, of twice, three times ... as many further minima, and so many more of them that the chance of a miss stays,
-until its parts are short. So no group's pairs are ever laid out whole.
+Where this leaves several components in a list of at most `MAX_PAIRED` texts, the pairs of unlike components are compared within a task, each
+pair in the first of its lists. First the minima of the list's texts are brought together, which names the texts that may have a similar one; of these
+alone the sets follow, each once a list and not once a pair. Where they are more than `MAX_HASHES` hashes, they are cut into blocks, and any two blocks meet.
+A longer list is split by bands of its own, of twice, three times ... as many further minima, and so many more of them that the chance
+of a miss stays, until its parts are short. So no group's pairs are ever laid out.
 
 Defined results: a null or empty text, or one of blanks, has fingerprint zero and links like any other; a text of
 fewer than four words has one shingle, itself. A null doc_id never names a component unless the component
@@ -32,7 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,8 @@ from pyspark.sql import functions as F
 from .common import durable, map_columns, numbered, raw
 
 SEED, SHINGLE, MAX_BITS, MAX_LIST = 42, 4, 4, 4096
-#: Similar texts: words in a shingle, minima in a band, chance that a pair at 0.8 is missed; texts of a list whose pairs are compared; row numbers that are broadcast at most.
-LONG_SHINGLE, BAND, MISS, MAX_PAIRED, MAX_BROADCAST = 5, 4, 4e-5, 128, 1 << 20
+#: Similar texts: words in a shingle, minima in a band, chance that a pair at 0.8 is missed; texts of a list whose pairs are compared; hashes of a block of their sets; row numbers that are broadcast at most.
+LONG_SHINGLE, BAND, MISS, MAX_PAIRED, MAX_HASHES, MAX_BROADCAST = 5, 4, 4e-5, 1 << 16, 1 << 21, 1 << 20
 #: Of the minima of the first bands, how many must agree in their lowest byte before two texts' sets are compared.
 LEAST_ALIKE = 45
 
@@ -306,18 +308,18 @@ def _factors(level: int) -> np.ndarray:
     return np.random.default_rng([SEED, level]).integers(1 << 64, size=(2, wide * many), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
 
 
-def _sketch(text: bytes | None, level: int = 0) -> tuple[bytes, list[int], bytes]:
-    """A digest of the text's words, the keys of its bands, and the lowest bytes of its minima; a text without words has no bands."""
+def _sketch(text: bytes | None, level: int = 0) -> tuple[bytes, list[int], bytes, int]:
+    """A digest of the text's words, the keys of its bands, the lowest bytes of its minima, and its number of hashes; a text without words has no bands."""
     words = text.lower().split() if text else []
     digest = xxhash.xxh3_128_digest(b" ".join(words))
     if not words:
-        return digest, [], b""
+        return digest, [], b"", 0
     (wide, many), (factors, terms) = bands(level), _factors(level)
     hashes, low = np.unique(_shingles(words, LONG_SHINGLE)), np.full(wide * many, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 512):
         low = np.minimum(low, (hashes[at : at + 512, None] * factors + terms).min(axis=0))
     keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(low.reshape(many, wide))]
-    return digest, np.array(keys, dtype=np.uint64).view(np.int64).tolist(), (low & np.uint64(0xFF)).astype(np.uint8).tobytes()
+    return digest, np.array(keys, dtype=np.uint64).view(np.int64).tolist(), (low & np.uint64(0xFF)).astype(np.uint8).tobytes(), len(hashes)
 
 
 def _of_rows(docs: DataFrame, row: str, rows: DataFrame, how: str) -> DataFrame:
@@ -343,6 +345,15 @@ def _likely(pairs: DataFrame, minima: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, row: str, minima: DataFrame) -> DataFrame:
     """The pairs (a, b) of row numbers whose texts' shingle sets are similar."""
     pairs = _likely(pairs, minima)
+    sets = _sets(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))), docs, row)
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
+    # common / (x + y - common) >= 4/5
+    return durable(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+
+
+def _sets(rows: DataFrame, docs: DataFrame, row: str) -> DataFrame:
+    """(row, hashes) of the texts of some row numbers (column row), which may repeat: their shingle sets."""
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -352,34 +363,134 @@ def _verified(pairs: DataFrame, docs: DataFrame, row: str, minima: DataFrame) ->
 
         return work
 
-    wanted = durable(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
-    sets = durable(map_columns(_of_rows(docs.select(row, "text"), row, wanted, "left_semi"), "row long, hashes array<long>", make))
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a")
-    both = both.join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
-    # common / (x + y - common) >= 4/5
-    return durable(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    wanted = durable(rows.distinct())
+    return durable(map_columns(_of_rows(docs.select(row, "text"), row, wanted, "left_semi"), "row long, hashes array<long>", make))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The runs of rows that agree in some columns of longs, across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(name).to_numpy() for name in by])
+        starts = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+            now = tuple(keys[:, at].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _List:
+    """Texts of one list: their row numbers, components, sizes, minima and band keys."""
+
+    def __init__(self, table: pa.Table):
+        self.row, self.label, self.size = (table[name].to_numpy().copy() for name in ("row", "root", "size"))
+        n, self.top = len(self.row), table["top"][0].as_py()
+        #: In a meeting of two blocks, which of them each text is in.
+        self.block = table["of"].to_numpy() if "of" in table.column_names else np.zeros(n, dtype=np.int64)
+        self.across = bool((self.block != self.block[0]).any())
+        self.marks = np.frombuffer(b"".join(table["marks"].to_pylist()), dtype=np.uint8).reshape(n, -1)
+        self.keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+
+    def pivots(self) -> list[int]:
+        """The texts outside the largest component: every pair of unlike components has one of them."""
+        names, number, sizes = np.unique(self.label, return_inverse=True, return_counts=True)
+        return np.flatnonzero(number != sizes.argmax()).tolist()
+
+    def partners(self, at: int) -> np.ndarray:
+        """The texts of other components that may be similar to one text, where this is the first list of both."""
+        size = self.size[at]
+        found = np.flatnonzero((self.label != self.label[at]) & (5 * np.minimum(self.size, size) >= 4 * np.maximum(self.size, size)))
+        if self.across:
+            found = found[self.block[found] != self.block[at]]
+        found = found[(self.marks[found] == self.marks[at]).sum(axis=1) >= LEAST_ALIKE]
+        same = self.keys[found] == self.keys[at]
+        return found[same.any(axis=1) & (self.keys[at][same.argmax(axis=1)] == self.top)]
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(key, blocks, of, row) of the texts of each list that may be similar to one of another component: of two blocks, and which of them the text is in."""
+    for table in _groups(batches, ("key",)):
+        texts = _List(table)
+        some = np.zeros(len(texts.row), dtype=bool)
+        for at in texts.pivots():
+            if len(found := texts.partners(at)):
+                some[at] = some[found] = True
+        rows = texts.row[some]
+        if not len(rows):
+            continue
+        block = (np.cumsum(texts.size[some]) - 1) // most
+        block = np.unique(block, return_inverse=True)[1]
+        key = table["key"][0].as_py()
+        for a, b in combinations_with_replacement(range(int(block.max()) + 1), 2):
+            inside = (block == a) | (block == b)
+            pair = np.full((2, int(inside.sum())), [[key], [a << 31 | b]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*pair, block[inside], rows[inside])], names=["key", "blocks", "of", "row"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) between similar texts that join the components of two blocks of a list."""
+    for table in _groups(batches, ("key", "blocks")):
+        texts = _List(table)
+        hashes = table["hashes"].combine_chunks()
+        starts = np.concatenate(([0], np.cumsum(texts.size)))
+        number = np.unique(hashes.flatten().to_numpy(), return_inverse=True)[1]
+        own = np.zeros(len(number), dtype=bool)
+        edges: list[tuple[int, int]] = []
+        for at in texts.pivots():
+            found = texts.partners(at)
+            if not len(found):
+                continue
+            mine = number[starts[at] : starts[at + 1]]
+            own[mine] = True
+            sizes = texts.size[found]
+            ahead = np.cumsum(sizes) - sizes
+            common = np.add.reduceat(own[number[np.repeat(starts[found] - ahead, sizes) + np.arange(sizes.sum())]], ahead, dtype=np.int64)
+            own[mine] = False
+            # common / (x + y - common) >= 4/5
+            near = found[9 * common >= 4 * (sizes + texts.size[at])]
+            labels, first = np.unique(texts.label[near], return_index=True)
+            edges += [(int(texts.row[at]), int(texts.row[b])) for b in near[first]]
+            texts.label[np.isin(texts.label, labels)] = texts.label[at]
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], names=["a", "b"])
+
+
+def _joined(lists: DataFrame, docs: DataFrame, row: str, minima: DataFrame) -> DataFrame:
+    """Edges (a, b) between similar texts of unlike components in the lists (key, top, row, root)."""
+    facts = durable(lists.join(minima, "row").select("key", "top", "row", "root", "size", "marks", "keys"))
+    most = MAX_HASHES
+    by_list = facts.repartition("key").sortWithinPartitions("key")
+    meetings = durable(by_list.mapInArrow(lambda batches: _meetings(batches, most), "key long, blocks long, of long, row long"))
+    sets = _sets(meetings.select("row"), docs, row)
+    met = meetings.join(facts, ["key", "row"]).join(sets, "row").repartition("key", "blocks").sortWithinPartitions("key", "blocks")
+    return durable(met.mapInArrow(_met, "a long, b long"))
 
 
 def _similar(posts: DataFrame, docs: DataFrame, row: str, minima: DataFrame, level: int = 0) -> DataFrame:
-    """Edges (a, b) that span the components of similar texts; posts has each text's band keys and row number."""
+    """Edges (a, b) that span the components of similar texts; posts has each text's band keys, at first and now, and row number."""
     ends = durable(posts.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high"))
-    lists = durable(posts.join(ends, "key").select("key", "row", "low"))
+    lists = durable(posts.join(ends, "key").select("key", "top", "row", "low"))
     first = durable(lists.where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b")).distinct())
     edges = _verified(first, docs, row, minima)
-    named = lists.select("key", "row").join(components(edges).withColumnRenamed("node", "row"), "row", "left")
-    named = durable(named.select("key", "row", F.coalesce("root", "row").alias("root")))
+    named = lists.select("key", "top", "row").join(components(edges).withColumnRenamed("node", "row"), "row", "left")
+    named = durable(named.select("key", "top", "row", F.coalesce("root", "row").alias("root")))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
     left = durable(named.join(mixed.select("key", "n"), "key"))
-    short = left.where(F.col("n") <= MAX_PAIRED)
-    other = short.select("key", F.col("row").alias("b"), F.col("root").alias("of_b"))
-    more = short.join(other, "key").where("row < b AND root <> of_b").select(F.col("row").alias("a"), "b").distinct()
-    edges = edges.unionByName(_verified(durable(more.join(first, ["a", "b"], "left_anti")), docs, row, minima))
-    long = left.where(F.col("n") > MAX_PAIRED).select("key", "row")
+    edges = edges.unionByName(_joined(left.where(F.col("n") <= MAX_PAIRED).drop("n"), docs, row, minima))
+    long = left.where(F.col("n") > MAX_PAIRED).select("key", "top", "row")
     return edges if long.isEmpty() else edges.unionByName(_similar(_finer(long, docs, row, level + 1), docs, row, minima, level + 1))
 
 
 def _finer(lists: DataFrame, docs: DataFrame, row: str, level: int) -> DataFrame:
-    """The lists (key, row), each split by the next level's bands of its texts."""
+    """The lists (key, top, row), each split by the next level's bands of its texts."""
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -390,8 +501,8 @@ def _finer(lists: DataFrame, docs: DataFrame, row: str, level: int) -> DataFrame
 
     texts = _of_rows(docs.select(row, "text"), row, durable(lists.select("row").distinct()), "left_semi")
     finer = durable(map_columns(texts, "row long, finer array<long>", make))
-    both = lists.join(finer, "row").select("key", "row", F.explode("finer").alias("finer"))
-    return durable(both.select(F.xxhash64("key", "finer").alias("key"), "row"))
+    both = lists.join(finer, "row").select("key", "top", "row", F.explode("finer").alias("finer"))
+    return durable(both.select(F.xxhash64("key", "finer").alias("key"), "top", "row"))
 
 
 def _one_each(docs: DataFrame, row: str, roots: DataFrame) -> DataFrame:
@@ -408,14 +519,14 @@ def deduplicate_similar(docs: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch):
             found = [_sketch(t) for t in raw(batch.column(2))]
-            return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array([f[0] for f in found], pa.binary()), "keys": pa.array([f[1] for f in found], pa.list_(pa.int64())), "marks": pa.array([f[2] for f in found], pa.binary())}
+            return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array([f[0] for f in found], pa.binary()), "keys": pa.array([f[1] for f in found], pa.list_(pa.int64())), "marks": pa.array([f[2] for f in found], pa.binary()), "size": pa.array([f[3] for f in found], pa.int64())}
 
         return work
 
     rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = durable(map_columns(rows, "row long, doc_id long, digest binary, keys array<long>, marks binary", make))
+    rows = durable(map_columns(rows, "row long, doc_id long, digest binary, keys array<long>, marks binary, size long", make))
     texts = rows.groupBy("digest").agg(F.min("row").alias("node"))
     copies = durable(rows.select("row", "doc_id", "digest").join(texts, "digest").select("row", "doc_id", "node"))
     posts = rows.join(copies.where("row = node").select("row"), "row", "left_semi").select(F.explode("keys").alias("key"), "row")
-    linked = components(_similar(posts, docs, row, rows.select("row", "marks")))
+    linked = components(_similar(posts.withColumn("top", F.col("key")), docs, row, rows.select("row", "marks", "keys", "size")))
     return _one_each(docs, row, copies.join(linked, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"))).select(*[f"`{c}`" for c in docs.columns if c != row])

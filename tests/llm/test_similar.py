@@ -107,3 +107,32 @@ def test_chance_that_minima_of_a_similar_pair_disagree():
     wide, many = simhash.bands(0)
     n = wide * many
     assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(simhash.LEAST_ALIKE)) < 1e-6
+
+
+def unlike(rng, many, shared=160, own=25):
+    """Texts that share most of their words, but are not similar, and one similar pair among them."""
+    common, rows = [f"s{i}" for i in range(shared)], []
+    for _ in range(many):
+        rows.append((len(rows), " ".join(common + [f"o{rng.randrange(10**6)}" for _ in range(own)])))
+    rows.append((len(rows), rows[-1][1].rsplit(" ", 1)[0] + " changed"))
+    return rows
+
+
+def test_sets_are_not_moved_for_each_pair(spark, monkeypatch):
+    """Only pairs with the first text of a list are joined to their sets, so no more than a text has bands."""
+    pairs, likely = [], simhash._likely
+    monkeypatch.setattr(simhash, "_likely", lambda *x: pairs.append(likely(*x)) or pairs[-1])
+    rows = unlike(random.Random(11), 120)
+    kept = {r["n_chars"] for r in simhash.deduplicate_similar(frame(spark, rows)).collect()}
+    assert kept == set(slow_firsts(rows)) and sum(p.count() for p in pairs) <= simhash.bands(0)[1] * len(rows)
+
+
+@pytest.mark.parametrize("most", [1 << 21, 700, 1])
+def test_blocks_of_a_list_meet(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MAX_HASHES", most)
+    rng = random.Random(12)
+    rows = unlike(rng, 12)
+    for at in (2, 5, 7, 12):
+        rows.append((len(rows), "new " + rows[at][1]))
+    kept = {r["n_chars"] for r in simhash.deduplicate_similar(frame(spark, rows)).collect()}
+    assert kept == set(slow_firsts(rows)) and len(kept) == 12
