@@ -1,7 +1,7 @@
 """A cleaning pipeline over the documents table: five stages, each written and read again before the next.
 
 toxicity: documents that score 0.5 or more go. simhash: one document of each group of similar texts stays
-(five-word Jaccard similarity of 0.8 or more, found by MinHash).
+(five-word Jaccard similarity of 0.8 or more, found by SimHash links and, beyond their 4 bits, by MinHash).
 decontamination: documents with windows of two or more test items, or mostly of such windows, go; from others
 the windows are cut out. pii: surrogates take the place of personal data. sentencepiece: the remaining texts are encoded.
 

@@ -14,8 +14,9 @@ forest, not all pairs, and only distinct fingerprints are indexed, so copies of
 
 `deduplicate_similar`, the pipeline's stage, links texts by content instead: two texts are similar if their sets of
 five-word shingles have a Jaccard similarity of 0.8 or more. Copies, up to case and blanks, are met first. Of the
-distinct texts, candidates share one of 20 bands of 4 MinHash values each, which a pair at 0.8 misses with a
-chance of 3 in 100,000. Of a candidate pair the lowest bytes of its 80 minima are compared first: at 0.8 fewer than `LEAST_ALIKE` agree
+distinct texts, those whose fingerprints link by the index above are compared, and what is similar joins. As at 0.8 fingerprints are mostly over 4 bits
+apart, MinHash finds the rest: candidates share one of 20 bands of 4 MinHash values each, which a pair at 0.8 misses with a
+chance of 3 in 100,000; those that the fingerprints have joined are not compared again. Of a candidate pair the lowest bytes of its 80 minima are compared first: at 0.8 fewer than `LEAST_ALIKE` agree
 with a chance below one in a million. The sets of all other pairs are compared. In each band's list all texts are compared to the first.
 Where this leaves several components in a list of at most `MAX_PAIRED` texts, the pairs of unlike components are compared within a task, each
 pair in the first of its lists. First the minima of the list's texts are brought together, which names the texts that may have a similar one; of these
@@ -474,19 +475,36 @@ def _joined(lists: DataFrame, docs: DataFrame, row: str, minima: DataFrame) -> D
     return durable(met.mapInArrow(_met, "a long, b long"))
 
 
-def _similar(posts: DataFrame, docs: DataFrame, row: str, minima: DataFrame, level: int = 0) -> DataFrame:
-    """Edges (a, b) that span the components of similar texts; posts has each text's band keys, at first and now, and row number."""
+def _linked(fps: DataFrame, docs: DataFrame, row: str, minima: DataFrame) -> DataFrame:
+    """Edges (a, b) between similar texts whose fingerprints (row, fp) are equal or link."""
+    first = durable(fps.groupBy("fp").agg(F.min("row").alias("low")))
+    equal = fps.join(first, "fp").where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b"))
+    edges = links(first.select("fp"))
+    near = edges.join(first.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+    pairs = equal.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return _verified(durable(pairs.distinct()), docs, row, minima)
+
+
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the edges don't join."""
+    of = components(edges)
+    both = pairs.join(of.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+    return durable(both.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"))
+
+
+def _similar(posts: DataFrame, docs: DataFrame, row: str, minima: DataFrame, known: DataFrame, level: int = 0) -> DataFrame:
+    """Edges (a, b) that span the components of similar texts, known ones included; posts has each text's band keys, at first and now, and row number."""
     ends = durable(posts.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high"))
     lists = durable(posts.join(ends, "key").select("key", "top", "row", "low"))
     first = durable(lists.where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b")).distinct())
-    edges = _verified(first, docs, row, minima)
+    edges = known.unionByName(_verified(_apart(first, known), docs, row, minima))
     named = lists.select("key", "top", "row").join(components(edges).withColumnRenamed("node", "row"), "row", "left")
     named = durable(named.select("key", "top", "row", F.coalesce("root", "row").alias("root")))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
     left = durable(named.join(mixed.select("key", "n"), "key"))
     edges = edges.unionByName(_joined(left.where(F.col("n") <= MAX_PAIRED).drop("n"), docs, row, minima))
     long = left.where(F.col("n") > MAX_PAIRED).select("key", "top", "row")
-    return edges if long.isEmpty() else edges.unionByName(_similar(_finer(long, docs, row, level + 1), docs, row, minima, level + 1))
+    return edges if long.isEmpty() else _similar(_finer(long, docs, row, level + 1), docs, row, minima, edges, level + 1)
 
 
 def _finer(lists: DataFrame, docs: DataFrame, row: str, level: int) -> DataFrame:
@@ -519,14 +537,17 @@ def deduplicate_similar(docs: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch):
             found = [_sketch(t) for t in raw(batch.column(2))]
-            return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array([f[0] for f in found], pa.binary()), "keys": pa.array([f[1] for f in found], pa.list_(pa.int64())), "marks": pa.array([f[2] for f in found], pa.binary()), "size": pa.array([f[3] for f in found], pa.int64())}
+            return {"row": batch.column(0), "doc_id": batch.column(1), "digest": pa.array([f[0] for f in found], pa.binary()), "keys": pa.array([f[1] for f in found], pa.list_(pa.int64())), "marks": pa.array([f[2] for f in found], pa.binary()), "size": pa.array([f[3] for f in found], pa.int64()), "fp": np.array([fingerprint(t) for t in raw(batch.column(2))], dtype=np.uint64).view(np.int64)}
 
         return work
 
     rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = durable(map_columns(rows, "row long, doc_id long, digest binary, keys array<long>, marks binary, size long", make))
+    rows = durable(map_columns(rows, "row long, doc_id long, digest binary, keys array<long>, marks binary, size long, fp long", make))
     texts = rows.groupBy("digest").agg(F.min("row").alias("node"))
     copies = durable(rows.select("row", "doc_id", "digest").join(texts, "digest").select("row", "doc_id", "node"))
-    posts = rows.join(copies.where("row = node").select("row"), "row", "left_semi").select(F.explode("keys").alias("key"), "row")
-    linked = components(_similar(posts.withColumn("top", F.col("key")), docs, row, rows.select("row", "marks", "keys", "size")))
+    own, minima = rows.join(copies.where("row = node").select("row"), "row", "left_semi"), rows.select("row", "marks", "keys", "size")
+    # a text without words has no set and only copies
+    near = _linked(durable(own.where("size > 0").select("row", "fp")), docs, row, minima)
+    posts = own.select(F.explode("keys").alias("key"), "row").withColumn("top", F.col("key"))
+    linked = components(_similar(posts, docs, row, minima, near))
     return _one_each(docs, row, copies.join(linked, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"))).select(*[f"`{c}`" for c in docs.columns if c != row])

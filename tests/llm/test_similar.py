@@ -136,3 +136,19 @@ def test_blocks_of_a_list_meet(spark, monkeypatch, most):
         rows.append((len(rows), "new " + rows[at][1]))
     kept = {r["n_chars"] for r in simhash.deduplicate_similar(frame(spark, rows)).collect()}
     assert kept == set(slow_firsts(rows)) and len(kept) == 12
+
+
+def test_linked_fingerprints_are_candidates_of_their_own(spark, monkeypatch):
+    """Without any candidate of MinHash, similar texts whose fingerprints link are met, and unlike ones that link stay."""
+    monkeypatch.setattr(simhash, "_similar", lambda posts, docs, row, minima, known: known)
+    rng, rows = random.Random(13), []
+    while len(rows) < 8:
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        copy = " ".join([*words[:-1], "changed"])
+        if bin(slow_fingerprint(" ".join(words)) ^ slow_fingerprint(copy)).count("1") <= 4:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, copy)]
+    # one shingle is over half of these two, so their fingerprints are equal
+    rows += [(20, "x " * 60 + "a b c d e f g h"), (21, "x " * 60 + "i j k l m n o p"), (22, ""), (23, None)]
+    assert slow_fingerprint(rows[8][1]) == slow_fingerprint(rows[9][1])
+    kept = {r["n_chars"] for r in simhash.deduplicate_similar(frame(spark, rows)).collect()}
+    assert kept == set(slow_firsts(rows)) and kept == {0, 2, 4, 6, 8, 9, 10}
