@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ ALNUM = bytes(
 
 Columns = dict[str, object]
 
+#: Bytes of texts that a worker lays out at once, where it goes through batches in strides.
+STRIDE = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,13 +51,29 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Columns]]) -> DataFrame:
-    """Runs make() once in each task and its result on each Arrow batch; it returns the columns named in schema."""
+def strides(batches: Iterator[pa.RecordBatch], most: int = STRIDE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have up to so many bytes, or of one row.
+
+    A batch has 10,000 rows however long their texts are; what a worker and the JVM hold of it besides the batch itself,
+    and keep from there on, is so bounded by the stride.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = done = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin, done = end, int(ends[end - 1])
+
+
+def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Columns]], in_strides: bool = False) -> DataFrame:
+    """Runs make() once in each task and its result on each Arrow batch, or its strides; it returns the columns named in schema."""
     names = [part.split()[0].strip("`") for part in _fields(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in strides(batches) if in_strides else batches:
             out = work(batch)
             yield pa.RecordBatch.from_arrays([as_array(out[name]) for name in names], names=names)
 

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, durable, fresh, map_columns, numbered, raw, replace_text
+from .common import ALNUM, durable, fresh, map_columns, numbered, raw, replace_text, strides
 
 #: Words of test items in one automaton, in a stretch of an item, and bytes that an automaton takes for a word at most.
 PART_WORDS, STRETCH, BYTES_PER_WORD = 1 << 18, 1024, 220
@@ -324,7 +324,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
     model = _broadcast(docs, models, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in strides(batches):
             texts = raw(batch.column(batch.schema.get_field_index("text")))
             yield _cleaned(batch, [model.value.matches(words_of(text)) for text in texts], min_items, max_coverage)
 
@@ -352,7 +352,7 @@ def _decontaminate_in_passes(docs: DataFrame, models: DataFrame, parts: int, min
     wide = rows.join(found, row, "left").select(*[f"`{c}`" for c in columns], runs, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in strides(batches):
             texts, told = raw(batch.column(batch.schema.get_field_index("text"))), [batch.column(batch.num_columns - i).to_pylist() for i in (2, 1)]
             hits = [(_marked(len(words_of(t)), r or []), set(i or ())) for t, r, i in zip(texts, *told)]
             yield _cleaned(batch.select(columns), hits, min_items, max_coverage)

@@ -369,7 +369,7 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None) -> Da
 
         return work
 
-    return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), SCHEMA, make)
+    return map_columns(docs.select(F.col("doc_id").cast("long"), "text"), SCHEMA, make, in_strides=True)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

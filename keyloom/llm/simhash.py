@@ -365,7 +365,7 @@ def _sets(rows: DataFrame, docs: DataFrame, row: str) -> DataFrame:
         return work
 
     wanted = durable(rows.distinct())
-    return durable(map_columns(_of_rows(docs.select(row, "text"), row, wanted, "left_semi"), "row long, hashes array<long>", make))
+    return durable(map_columns(_of_rows(docs.select(row, "text"), row, wanted, "left_semi"), "row long, hashes array<long>", make, in_strides=True))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -518,7 +518,7 @@ def _finer(lists: DataFrame, docs: DataFrame, row: str, level: int) -> DataFrame
         return work
 
     texts = _of_rows(docs.select(row, "text"), row, durable(lists.select("row").distinct()), "left_semi")
-    finer = durable(map_columns(texts, "row long, finer array<long>", make))
+    finer = durable(map_columns(texts, "row long, finer array<long>", make, in_strides=True))
     both = lists.join(finer, "row").select("key", "top", "row", F.explode("finer").alias("finer"))
     return durable(both.select(F.xxhash64("key", "finer").alias("key"), "top", "row"))
 
@@ -542,7 +542,7 @@ def deduplicate_similar(docs: DataFrame) -> DataFrame:
         return work
 
     rows = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = durable(map_columns(rows, "row long, doc_id long, digest binary, keys array<long>, marks binary, size long, fp long", make))
+    rows = durable(map_columns(rows, "row long, doc_id long, digest binary, keys array<long>, marks binary, size long, fp long", make, in_strides=True))
     texts = rows.groupBy("digest").agg(F.min("row").alias("node"))
     copies = durable(rows.select("row", "doc_id", "digest").join(texts, "digest").select("row", "doc_id", "node"))
     own, minima = rows.join(copies.where("row = node").select("row"), "row", "left_semi"), rows.select("row", "marks", "keys", "size")

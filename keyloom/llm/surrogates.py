@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, replace_text
+from .common import map_columns, replace_text, strides
 
 SETTING = "spark.keyloom.surrogates.key"
 ROUNDS = 8
@@ -338,7 +338,7 @@ def scrub(docs: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work_on = _worker(key)
-        for batch in batches:
+        for batch in strides(batches):
             column = batch.column(batch.schema.get_field_index("text"))
             yield replace_text(batch, [work_on(t)[0] if t else t for t in column.to_pylist()])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ALNUM, durable, fold, map_columns, raw, remainder
+from .common import ALNUM, durable, fold, map_columns, raw, remainder, strides
 
 BITS, FOLDS, SAMPLE, SAMPLE_BYTES, EPOCHS = 20, 5, 24_000, 1 << 27, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
@@ -164,7 +164,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = weights.value
-        for batch in batches:
+        for batch in strides(batches):
             texts = raw(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([model.score(t) < 0.5 for t in texts], type=pa.bool_()))
 
