@@ -25,24 +25,26 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import STRIDE, map_columns
 from .pieces import BYTE, MARK, Piece, model_path, scored_pieces
 
-N_BEST, MEMO, LONG = 4, 100_000, 64
+N_BEST, MEMO, LONG = 4, 200_000, 64
 #: Stands for a word mark of the text itself; no text holds a lone surrogate.
 OWN_MARK = "\ud800"
 #: Runs of letters or of other characters, with the blanks before; the superscript two is the one other character that counts as a word's.
 PARTS = (r" *[^\W\d_²]+| *(?:[^\w ]|[\d_²])+| +", r" *[^ ]+| +", r"(?s).+")
-#: Parts of up to so many characters are searched together, in blocks of so many; bytes of texts whose parts are held at once.
-WIDE, BLOCK, STRIDE = 32, 4096, 1 << 20
+#: What of each of them is a run of one kind; blanks are another kind if they aren't in it, the rest is a third.
+RUNS = (r"[^\W\d_²]+", r"[^ ]+", r"(?s).+")
+#: Parts of up to so many characters are searched together, in blocks of so many.
+WIDE, BLOCK = 32, 4096
 
 
 class Lattice:
@@ -56,9 +58,15 @@ class Lattice:
         self.bytes = {int(p.text[3:5], 16): i for i, p in enumerate(pieces) if p.kind == BYTE}
         #: Score of a character in byte pieces.
         self.byte_score = min((score for _, _, score in plain), default=0.0) - 10
-        self.part = next(p for p in map(re.compile, PARTS) if all(p.findall(text) == [text] for text in self.pieces))
+        level = next(i for i, p in enumerate(PARTS) if all(re.findall(p, text) == [text] for text in self.pieces))
+        self.part = re.compile(PARTS[level])
+        self.kinds = np.full(0x110000, 2, dtype=np.uint8)
+        self.kinds[ord(" ")] = 0
+        for run in re.finditer(RUNS[level], np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")):
+            self.kinds[run.start() : run.end()] = 1
         self._flatten()
         self.spelled = [p.text.replace(MARK, " ").encode() if p.plain else bytes([int(p.text[3:5], 16)]) if p.kind == BYTE else b"" for p in pieces]
+        self.spelled_size = np.array([len(b) for b in self.spelled], dtype=np.int64)
 
     def _flatten(self) -> None:
         """The pieces as a trie in arrays: sorted keys of (state, class of the next character), and the states behind them."""
@@ -74,30 +82,56 @@ class Lattice:
         self.score = np.array([0.0, *(score for _, score in self.prefixes.values())])
         self.alone = np.array([False, *(c in self.pieces for c in letters)])
 
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all texts, which are those that `part` finds, and the number of each text's first one; no text is empty."""
+        joined = "".join(texts)
+        kind = self.kinds[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        firsts = np.cumsum(sizes) - sizes
+        begins = np.concatenate(([False], (kind[1:] != kind[:-1]) & (kind[:-1] != 0)))
+        begins[firsts] = True
+        at = np.flatnonzero(begins)
+        bounds = at.tolist()
+        return [joined[a:b] for a, b in zip(bounds, [*bounds[1:], len(joined)])], np.searchsorted(at, firsts)
+
     def all_best(self, parts: list[str]) -> list[tuple[bytes, float, float]]:
-        """For each part what `best` gives, with the ids as bytes; parts of one length are done together."""
-        out: list[tuple[bytes, float, float] | None] = [None] * len(parts)
+        """For each part what `best` gives, with the ids as bytes."""
+        order, ids, sizes, scores, losses = self.search(parts)
+        out: list[tuple[bytes, float, float]] = [(b"", 0.0, 0.0)] * len(parts)
+        data, ends = ids.tobytes(), np.cumsum(sizes)
+        for at, a, b, score, loss in zip(order, ((ends - sizes) * 4).tolist(), (ends * 4).tolist(), scores.tolist(), losses.tolist()):
+            out[at] = (data[a:b], score, loss)
+        return out
+
+    def search(self, parts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What `best` gives for the parts, in an order of its own, which comes first: all ids, how many are a part's, scores, losses.
+
+        Parts of one length are done together.
+        """
+        order: list[int] = []
+        found: list[tuple[np.ndarray, ...]] = []
+        alone: list[int] = []
         groups: dict[int, list[int]] = {}
         for at, part in enumerate(parts):
             groups.setdefault(len(part), []).append(at)
         for length, members in groups.items():
             if length > WIDE or len(members) < 8:
+                alone += members
                 continue
             for begin in range(0, len(members), BLOCK):
                 some = members[begin : begin + BLOCK]
                 points = np.frombuffer("".join([parts[at] for at in some]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 classes = self.classes[points].reshape(-1, length)
                 whole = self.alone[classes].all(axis=1)
-                for at, entry in zip(np.array(some)[whole].tolist(), self._together(classes[whole].T.copy())):
-                    out[at] = entry
-        for at, entry in enumerate(out):
-            if entry is None:
-                ids, score, loss = self.best(parts[at])
-                out[at] = (array("i", ids).tobytes(), score, loss)
-        return out
-
-    def _together(self, classes: np.ndarray) -> list[tuple[bytes, float, float]]:
-        """`best` for the columns of classes, of characters that all have pieces of their own."""
+                order += np.array(some)[whole].tolist()
+                alone += np.array(some)[~whole].tolist()
+                found.append(self._together(classes[whole].T.copy()))
+        each = [self.best(parts[at]) for at in alone]
+        found.append((np.array([i for ids, _, _ in each for i in ids], dtype=np.int32), *(np.array(x, dtype=kind) for x, kind in (([len(ids) for ids, _, _ in each], np.int64), ([e[1] for e in each], float), ([e[2] for e in each], float)))))
+        return order + alone, *(np.concatenate(x) for x in zip(*found))
+
+    def _together(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """`search` for the columns of classes, of characters that all have pieces of their own."""
         n, m = classes.shape
         first, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
         start, piece = np.zeros((n + 1, m), dtype=np.int32), np.zeros((n + 1, m), dtype=np.int32)
@@ -130,9 +164,7 @@ class Lattice:
             ids[rows, filled[rows]] = piece[at, rows]
             at = start[at, rows]
             rows, at = rows[at > 0], at[at > 0]
-        data = ids.tobytes()
-        begins = (np.arange(m) * n + filled) * 4
-        return [(data[a:b], x, y) for a, b, x, y in zip(begins.tolist(), range(4 * n, 4 * n * (m + 1), 4 * n), first[n].tolist(), (first[n] - second[n]).tolist())]
+        return ids[np.arange(n) >= filled[:, None]], n - filled, first[n], first[n] - second[n]
 
     def _ending(self, part: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """Edges (start, score, ids) into each position, and Viterbi scores."""
@@ -223,30 +255,74 @@ class Lattice:
         return out
 
 
-class Memo(dict):
-    """Part to (its best ids as bytes, their score, the loss of its second best).
+class Memo:
+    """Parts by number, with their best ids, the ids' number and score, the loss of the second best, and whether the ids spell the part, in arrays.
 
-    When it is full, its entries become the older generation, from which those in use come back, and the rest is forgotten.
+    When it is full, the parts at hand and those that were met most often stay, up to half of it, and the rest is forgotten.
     """
 
     def __init__(self, lattice: Lattice):
-        super().__init__()
-        self.lattice, self.older = lattice, {}
-
-    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, float, float]]:
-        """Sees to the entries of all these parts; those too long to be remembered are returned."""
-        new = parts - self.keys()
-        old = new & self.older.keys()
-        found = {part: self.older[part] for part in old}
-        new = list(new - old)
-        found |= zip(new, self.lattice.all_best(new))
-        if len(self) + len(found) > MEMO and len(self):
-            # entries in use come along into the new generation
-            found |= {part: self[part] for part in parts & self.keys()}
-            self.older = dict(self)
-            self.clear()
-        self.update((part, entry) for part, entry in found.items() if len(part) <= LONG)
-        return {part: entry for part, entry in found.items() if len(part) > LONG}
+        self.lattice, self.number = lattice, {}
+        self.long: list[str] = []
+        self.size, self.begin, self.hits = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.score, self.loss, self.same, self.ids = np.zeros(0), np.zeros(0), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int32)
+
+    def look_up(self, parts: list[str]) -> np.ndarray:
+        """The numbers of the parts, which hold until the next call. Those too long to be remembered are forgotten then."""
+        if self.long:
+            for part in self.long:
+                del self.number[part]
+            self._keep(np.arange(len(self.number)))
+            self.long = []
+        at = np.fromiter(map(self.number.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(map(parts.__getitem__, missing.tolist())))
+            if len(self.number) + len(new) > MEMO and self.number:
+                at = self._forget(at)
+            self._learn([part for part in new if len(part) <= LONG])
+            self.long = [part for part in new if len(part) > LONG]
+            self._learn(self.long)
+            at[missing] = [self.number[parts[m]] for m in missing.tolist()]
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        return at
+
+    def _learn(self, parts: list[str]) -> None:
+        if not parts:
+            return
+        order, ids, size, score, loss = self.lattice.search(parts)
+        parts = list(map(parts.__getitem__, order))
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
+        begin = np.cumsum(size) - size
+        told = np.add.reduceat(self.lattice.spelled_size[ids], begin)
+        meant = "".join(parts).replace(OWN_MARK, MARK).encode()
+        lengths = np.fromiter((len(part.encode("utf-8", "surrogatepass")) for part in parts), dtype=np.int64, count=len(parts))
+        same = told == lengths
+        if not same.all() or b"".join(map(self.lattice.spelled.__getitem__, ids.tolist())) != meant:
+            spelled = (b"".join(map(self.lattice.spelled.__getitem__, ids[a : a + n].tolist())) for a, n in zip(begin.tolist(), size.tolist()))
+            same = np.array([b == part.replace(OWN_MARK, MARK).encode() for b, part in zip(spelled, parts)])
+        for name, more in (("begin", begin + len(self.ids)), ("ids", ids), ("size", size), ("score", score), ("loss", loss), ("same", same), ("hits", np.zeros(len(parts), dtype=np.int64))):
+            setattr(self, name, np.concatenate((getattr(self, name), more)))
+
+    def _forget(self, at: np.ndarray) -> np.ndarray:
+        """Makes room; the new numbers of the parts that have one."""
+        used = np.zeros(len(self.number), dtype=bool)
+        used[at[at >= 0]] = True
+        room = max(0, MEMO // 2 - int(used.sum()))
+        others = np.flatnonzero(~used)
+        used[others[np.argsort(-self.hits[others], kind="stable")[:room]]] = True
+        kept, parts = np.flatnonzero(used), list(self.number)
+        self.number = dict(zip(map(parts.__getitem__, kept.tolist()), range(len(kept))))
+        self._keep(kept)
+        self.hits >>= 1
+        return np.where(at >= 0, (np.cumsum(used) - 1)[at], -1)
+
+    def _keep(self, kept: np.ndarray) -> None:
+        size = self.size[kept]
+        begin = np.cumsum(size) - size
+        self.ids = self.ids[np.arange(size.sum()) + np.repeat(self.begin[kept] - begin, size)]
+        self.size, self.begin = size, begin
+        self.score, self.loss, self.same, self.hits = self.score[kept], self.loss[kept], self.same[kept], self.hits[kept]
 
 
 class Encoder:
@@ -265,48 +341,61 @@ class Encoder:
             while end < len(texts) and (end == at or size + len(texts[end]) <= STRIDE):
                 size += len(texts[end])
                 end += 1
-            cut = [self.lattice.part.findall(" " + text.replace(MARK, OWN_MARK)) if text else [] for text in texts[at:end]]
-            long = self.memo.learn(set().union(*cut))
-            for parts in cut:
-                yield self._put_together(parts, long)
+            ids, counts, scores, others, _ = self.encode_stride(texts[at:end])
+            data, ends = ids.tobytes(), np.cumsum(counts) * 4
+            for a, b, score, more in zip((ends - counts * 4).tolist(), ends.tolist(), scores.tolist(), others):
+                yield data[a:b], score, more
             at = end
 
     def encode(self, text: str) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         return next(self.encode_all([text]))
 
-    def _put_together(self, parts: list[str], long: dict[str, tuple[bytes, float, float]]):
-        found = [self.memo[p] if p in self.memo else long[p] for p in parts] if long else list(map(self.memo.__getitem__, parts))
-        best = [f[0] for f in found]
-        score = float(sum([f[1] for f in found]))
-        return b"".join(best), score, self._alternatives(parts, found, best, score) if parts else []
-
-    def _alternatives(self, parts: list[str], found: list[tuple[bytes, float, float]], coded: list[bytes], score: float):
-        more = self.n - 1
-        loss = np.array([f[2] for f in found])
-        chosen = np.flatnonzero(np.isfinite(loss))
-        if len(chosen) > more:
-            bound = np.partition(loss[chosen], more - 1)[more - 1]
-            below, equal = chosen[loss[chosen] < bound], chosen[loss[chosen] == bound]
-            chosen = np.concatenate((below, equal[: more - len(below)]))
+    def encode_stride(self, texts: list[str]):
+        """The best ids of all texts in one array, how many each has, scores, alternatives as in `encode_all`, and whether the ids spell the text."""
+        full = np.flatnonzero([bool(text) for text in texts])
+        counts, scores, same = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+        others: list[list] = [[] for _ in texts]
+        if not len(full):
+            return np.zeros(0, dtype=np.int32), counts, scores, others, same
+        parts, firsts = self.lattice.cut([" " + texts[at].replace(MARK, OWN_MARK) for at in full.tolist()])
+        memo = self.memo
+        at = memo.look_up(parts)
+        size, loss, best = memo.size[at], memo.loss[at], memo.score[at]
+        before = np.concatenate(([0], np.cumsum(size)))
+        ids = memo.ids[np.arange(before[-1]) + np.repeat(memo.begin[at] - before[:-1], size)]
+        counts[full] = np.add.reduceat(size, firsts)
+        scores[full] = np.add.reduceat(best, firsts)
+        same[full] = np.logical_and.reduceat(memo.same[at], firsts)
+        open_ = np.add.reduceat(np.isfinite(loss), firsts, dtype=np.int64).tolist()
+        if self.n > 1:
+            for row, a, b, n in zip(full.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(parts)], open_):
+                others[row] = self._alternatives(parts, loss, best, before, ids, a, b, n, float(scores[row]))
+        return ids, counts, scores, others, same
+
+    def _alternatives(self, parts: list[str], losses: np.ndarray, best: np.ndarray, before: np.ndarray, ids: np.ndarray, a: int, b: int, n: int, score: float):
+        """Of the text that has the parts from a to b, n of which have alternatives."""
+        more, loss = self.n - 1, losses[a:b]
+        if n > more:
+            bound = np.partition(loss, more - 1)[more - 1]
+            below, equal = np.flatnonzero(loss < bound).tolist(), np.flatnonzero(loss == bound).tolist()
+            chosen = below + equal[: more - len(below)]
+        else:
+            chosen = np.flatnonzero(np.isfinite(loss)).tolist()
         sums: list[tuple[float, tuple]] = [(0.0, ())]
-        for at in chosen.tolist():
-            ways = self._others(parts[at], coded[at])
-            grown = sums + [(s + found[at][1] - way, (*picks, (at, ids))) for s, picks in sums for way, ids in ways]
+        for at in map(a.__add__, chosen):
+            ways = self._others(parts[at], ids[before[at] : before[at + 1]], best[at])
+            grown = sums + [(s + lost, (*picks, (at, put))) for s, picks in sums for lost, put in ways]
             sums = heapq.nsmallest(self.n, grown, key=lambda x: x[0])
-        out = []
-        for lost, picks in sums[1:]:
-            edits = [(sum(map(len, coded[:at])) // 4, len(coded[at]) // 4, ids) for at, ids in sorted(picks)]
-            out.append((score - lost, edits))
-        return out
+        return [(score - lost, [(int(before[at] - before[a]), int(before[at + 1] - before[at]), put) for at, put in sorted(picks)]) for lost, picks in sums[1:]]
 
-    def _others(self, part: str, coded: bytes) -> list[tuple[float, tuple[int, ...]]]:
-        """The n - 1 best segmentations of a part next to its best one."""
+    def _others(self, part: str, ids: np.ndarray, score: float) -> list[tuple[float, tuple[int, ...]]]:
+        """The n - 1 best segmentations of a part next to its best one, each with its loss."""
         ways = self.others.get(part)
         if ways is None:
-            best = tuple(np.frombuffer(coded, dtype=np.int32).tolist())
-            ways = [way for way in self.lattice.n_best(part, self.n) if way[1] != best][: self.n - 1]
+            best = tuple(ids.tolist())
+            ways = [(float(score - s), put) for s, put in self.lattice.n_best(part, self.n) if put != best][: self.n - 1]
             if len(part) <= LONG:
-                if len(self.others) >= MEMO // 10:
+                if len(self.others) >= MEMO // 20:
                     self.others.clear()
                 self.others[part] = ways
         return ways
@@ -328,6 +417,23 @@ def kept_encoder(path: str, n_best: int, read: Callable[[], list[Piece]]) -> Enc
 
 EDITS = pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 ALTERNATIVES = pa.list_(pa.struct([("score", pa.float64()), ("edits", EDITS)]))
+
+
+def _offsets(sizes) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32))
+
+
+def _arrow(others: list[list]) -> pa.Array:
+    """The alternatives of texts as a column."""
+    ways = [way for more in others for way in more]
+    edits = [edit for _, edits in ways for edit in edits]
+    puts = pa.ListArray.from_arrays(_offsets([len(put) for _, _, put in edits]), pa.array([i for _, _, put in edits for i in put], pa.int32()))
+    flat = [pa.array([e[0] for e in edits], pa.int32()), pa.array([e[1] for e in edits], pa.int32()), puts]
+    told = pa.ListArray.from_arrays(_offsets([len(edits) for _, edits in ways]), pa.StructArray.from_arrays(flat, ["at", "length", "ids"]))
+    scored = pa.StructArray.from_arrays([pa.array([score for score, _ in ways], pa.float64()), told], ["score", "edits"])
+    return pa.ListArray.from_arrays(_offsets([len(more) for more in others]), scored).cast(ALTERNATIVES)
+
+
 SCHEMA = (
     "doc_id long, n_pieces long, score double, ids array<int>, "
     "alternatives array<struct<score: double, edits: array<struct<at: int, length: int, ids: array<int>>>>>, restored boolean"
@@ -347,23 +453,18 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None) -> Da
         encoder = kept_encoder(file, n_best, lambda: shared.value)
 
         def work(batch: pa.RecordBatch):
-            ids, scores, others, same = [], [], [], []
             texts = batch.column(1).to_pylist()
-            for text, (best, score, more) in zip(texts, encoder.encode_all([t or "" for t in texts])):
-                ids.append(best)
-                scores.append(score)
-                others.append([{"score": s, "edits": [{"at": a, "length": n, "ids": i} for a, n, i in e]} for s, e in more])
-                same.append(text is None or encoder.decode(np.frombuffer(best, dtype=np.int32).tolist()) == text)
-            sizes = np.fromiter((len(b) // 4 for b in ids), dtype=np.int64, count=len(ids))
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-            lists = pa.ListArray.from_arrays(offsets, values, mask=batch.column(1).is_null() if batch.column(1).null_count else None)
+            ids, counts, scores, others, same = encoder.encode_stride([t or "" for t in texts])
+            ends = np.cumsum(counts)
+            for at in np.flatnonzero(~same).tolist():
+                same[at] = encoder.decode(ids[ends[at] - counts[at] : ends[at]].tolist()) == texts[at]
+            lists = pa.ListArray.from_arrays(_offsets(counts), pa.array(ids), mask=batch.column(1).is_null() if batch.column(1).null_count else None)
             return {
                 "doc_id": batch.column(0),
-                "n_pieces": sizes,
+                "n_pieces": counts,
                 "score": pa.array(scores, pa.float64()),
                 "ids": lists,
-                "alternatives": pa.array(others, ALTERNATIVES),
+                "alternatives": _arrow(others),
                 "restored": pa.array(same, pa.bool_()),
             }
 

@@ -94,3 +94,31 @@ def test_memo_keeps_what_a_batch_needs(monkeypatch):
     texts = ["one two three four five six seven eight nine ten", "", "one two", "x" * 200, "ten nine eight one"] * 3
     wanted = [segment.Encoder(lattice).encode(t) for t in texts]
     assert list(segment.Encoder(lattice).encode_all(texts)) == wanted
+
+
+def test_cuts_are_the_expression_s_parts():
+    lattice = segment.Lattice(pieces.scored_pieces(pieces.model_path()))
+    rng = random.Random(23)
+    texts = [" " + "".join(rng.choice("ab é²1_.\n\t▁語😀  ") for _ in range(rng.randrange(1, 60))).replace("▁", segment.OWN_MARK) for _ in range(500)]
+    parts, firsts = lattice.cut(texts)
+    assert [parts[a:b] for a, b in zip(firsts, [*firsts[1:], len(parts)])] == [lattice.part.findall(t) for t in texts]
+
+
+def test_memo_keeps_frequent_parts_through_a_flood_of_rare_ones(monkeypatch):
+    monkeypatch.setattr(segment, "MEMO", 40)
+    lattice = segment.Lattice(pieces.scored_pieces(pieces.model_path()))
+    memo, met = segment.Memo(lattice), []
+    search = lattice.search
+    monkeypatch.setattr(lattice, "search", lambda parts: met.extend(parts) or search(parts))
+    often = [f" {a}{b}" for a in "abcd" for b in "efg"]
+    for k in range(60):
+        if k % 5 == 0:  # hits are halved whenever room is made
+            memo.look_up(often * 20)
+        rare = [f" {'xyzuv'[k % 5] * (k % 7 + 1)}{'qrst'[k // 7 % 4]}{a}" for a in "hijklmno"] + ["w" * (70 + k)]
+        for part, at in zip(rare, memo.look_up(rare).tolist()):
+            ids, score, loss = lattice.best(part)
+            begin, size = memo.begin[at], memo.size[at]
+            assert (memo.ids[begin : begin + size].tolist(), memo.score[at], memo.loss[at], memo.same[at]) == (ids, score, loss, True)
+        assert len(memo.number) <= 41 and memo.begin[-1] + memo.size[-1] == len(memo.ids)
+    memo.look_up(often)
+    assert all(met.count(part) == 1 for part in often)
