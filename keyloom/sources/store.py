@@ -39,8 +39,10 @@ def build(
 ) -> Store:
     """Writes a store, in the place of any older one, and opens it.
 
-    One shuffle by hash prefix, then a sort within tasks, which spills. Each shard is written by `splits` tasks,
-    cut by the next bits of the hash, so a task's share can be kept small at any size.
+    One shuffle by hash prefix, then a sort within tasks, which spills. A shard goes to one task, or to `splits`, cut by the
+    next bits of the hash. Adaptive execution joins small shares and cuts those beyond its advisory size (64 MiB if not set), so
+    a task's share stays that small however much there is, and a shard gets a file from each task that has a part of it;
+    with adaptive execution off, only `splits` cuts.
     """
     bits, cut = shard_bits(shards), shard_bits(splits)
     if bits + cut > 32:
@@ -51,8 +53,8 @@ def build(
     parquet_codec = lookup(CODECS, "compressor", codec)
     h = hash_of(F.col("key"), hash_name)
     rows = dedupe(entries, duplicates).withColumn("h", h).withColumn("shard", shard_of(F.col("h"), shards))
-    task = shard_of(F.col("h"), shards * splits)
-    laid = rows.repartition(shards * splits, task).sortWithinPartitions("shard", "h", "key")
+    shares = rows.withColumn("share", shard_of(F.col("h"), shards * splits)).hint("rebalance", "share").drop("share")
+    laid = shares.sortWithinPartitions("shard", "h", "key")
     there = _versions(files, path)
     place = f"{path}/v{max(there, default=0) + 1:09d}"
     writer = laid.drop("h").write.partitionBy("shard").option("compression", parquet_codec).option("parquet.page.size", block_size)

@@ -11,6 +11,7 @@ import xxhash
 from keyloom import cli
 from keyloom.functions.hashing import CODECS, HASHES, hash_of, shard_bits
 from keyloom.operators import lookup
+from keyloom.operators.blocks import order_breaks
 from keyloom.operators.merge import SourceSet, fold, last_wins
 from keyloom.operators.sharded import merge_bucketed, save_bucketed
 from keyloom.sources.delimited import from_lines, format_lines, read_delimited, write_delimited
@@ -252,6 +253,50 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("merge", one, two, str(tmp_path / "m"))[0] == 0 and run("get", "3", str(tmp_path / "m")) == (0, "5\n")
 
 
+@pytest.fixture
+def advisory(spark):
+    """Settings under which adaptive execution cuts a test's few rows."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def hash_text(n):
+    return hashlib.sha256(str(n).encode()).hexdigest()
+
+
+def most_in_a_file(store):
+    return store.rows().groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("n", [20_000, 80_000])
+def test_a_share_of_a_build_keeps_its_size(spark, tmp_path, advisory, n):
+    rows = spark.range(0, n, 1, 16).select(F.col("id").cast("string").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("value"), F.lit(0).alias("src"), F.lit(0).cast("long").alias("ord"))
+    for name, options in (("last", {}), ("keep", {"duplicates": "keep"}), ("splits", {"splits": 4})):
+        store = build(rows, str(tmp_path / name), shards=2, **options)
+        assert most_in_a_file(store) <= 6000
+        assert store.entries().exceptAll(rows.select("key", "value")).isEmpty() and store.entries().count() == n
+        assert store.manifest().agg(F.sum("entries"), F.count("*")).first()[:] == (n, 2)
+        assert store.get("77") == hash_text(77) and store.get("x") is None
+        breaks = order_breaks(store.rows().withColumn("h", hash_of(F.col("key"), store.hash)), "shard").collect()
+        assert sorted((r["shard"], r["breaks"]) for r in breaks) == [(0, 0), (1, 0)]
+
+
+def test_shares_of_a_streaming_ingest_keep_their_size(spark, tmp_path, advisory):
+    incoming, stores, marks = (str(tmp_path / n) for n in ("in", "stores", "marks"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.tsv").write_text("".join(f"{i}\t{hash_text(i)}\n" for i in range(80_000)) + "7\tlast\n")
+    ingest(spark, incoming, stores, marks, shards=2).awaitTermination()
+    found = ingested(spark, stores)
+    [(_, store)] = found.sources
+    assert most_in_a_file(store) <= 6000
+    assert found.entries().count() == 80_000 and found.get("7") == "last" and found.get("9") == hash_text(9)
+
+
 def test_streaming_ingest(spark, tmp_path):
     incoming, stores, marks = (str(tmp_path / n) for n in ("in", "stores", "marks"))
     (tmp_path / "in").mkdir()
